@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe, chat, licenses, lines, quality_rules, tokens
+from webloom.llm import bpe, chat, decontam, jaccard, licenses, lines, quality_model, quality_rules, tokens, toxicity
 from webloom.llm.common import read
+from webloom.llm.labelled import held_out
 
 
 def tokenizer(name: str) -> str:
@@ -31,6 +32,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_model.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality_model.score(docs, model).alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("<|im_end|><|im_start|>assistant ok")
     more = spark.range(2).select(
@@ -51,6 +62,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +80,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", hexdigest(F.col("text")).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(docs, model).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -75,7 +96,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_chat_format, op6_bpe_roundtrip, op7_line_dedup, op9_license_scan, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_model, op4_chat_format, op5_jaccard_join, op6_bpe_roundtrip, op7_line_dedup, op8_toxicity, op9_license_scan, op10_token_counts)}
 
 
 #: [\x20\x09-\x0D] in DuckDB's strings.
