@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_tasks(df: DataFrame, udf_like, schema: str) -> DataFrame:
-    """mapInArrow with nullable output columns."""
-    return df.mapInArrow(udf_like, schema)
+def release(spark: SparkSession) -> None:
+    """Has the driver drop what nothing refers to any more, so that finished jobs' shuffle files leave the disks.
+
+    Spark deletes them when the driver happens to collect its garbage, which may be long after a large stage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -8,8 +8,9 @@ sets and verified on the whole sets.
 Classes, not pairs, are wanted, so pairs inside one class are not enumerated. First each group is verified against
 the hub that most of its buckets name (the member with the fewest rare shingles); then, in buckets that still hold
 more than one class, the members outside the hub's class are paired with all members of other classes, behind exact
-filters (sizes, and the distance of 512-bit parity sketches, a lower bound of the sets' difference). Every pair
-that could link two classes is thus verified or excluded by a bound.
+filters (sizes, the distance of 512-bit parity sketches, which bounds the sets' difference from below, and the
+number of shingles that the prefixes share, which bounds the intersection from above). Every pair that could link
+two classes is thus verified or excluded by a bound.
 
 Copies in any number make one set and cost one verification. No bucket, class or document list reaches the driver
 or a single task; a set's hub that many members name is dealt out in parts.
@@ -26,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import words
-from webloom.llm.common import saved
+from webloom.llm.common import release, saved
 
 #: Shingles of known frequency, at most: the most frequent ones. They decide the order alone, never a link.
 FREQUENT = 1 << 17
-#: Members of a hub that one part holds, about; rows that may be broadcast.
-PART, BROADCAST_ROWS = 256, 500_000
+#: Members of a hub that one part holds, about; places (of some 40 bytes) that may be broadcast.
+PART, BROADCAST_ROWS = 256, 400_000
 _HELD = 1 << 21
 _SKETCH = 8
 _U = np.uint64
@@ -188,10 +189,9 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percen
     # A node's places go in chunks, so that a hub of many parts is no row of unbounded length.
     placed = dealt.unionByName(hubs).groupBy("node", F.floor(F.col("part") / 1024).alias("chunk")).agg(F.collect_list(F.struct("hub", "part", "member")).alias("places"))
     wanted = saved(placed.join(nodes.select("node", "s1"), "node").select("node", "s1", "places"), "places")
-    if wanted.count() <= BROADCAST_ROWS:
-        small = F.broadcast(wanted.select("node").distinct())
-        docs = docs.join(small, docs["id"] == small["node"], "left_semi")
-    with_text = docs.join(wanted, docs["id"] == wanted["node"]).select("node", "s1", "text", "places")
+    # Few places go to the texts; many are joined by a shuffle of the texts that they need.
+    few = (wanted.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_ROWS
+    with_text = docs.join(F.broadcast(wanted) if few else wanted, docs["id"] == wanted["node"]).select("node", "s1", "text", "places")
     rows = with_text.mapInArrow(_sets(k), "hub long, part int, member boolean, node long, set binary")
     ordered = rows.repartition(F.col("hub"), F.col("part")).sortWithinPartitions("hub", "part", "member")
     return ordered.mapInArrow(_verify(percent), "a long, b long").distinct()
@@ -233,6 +233,7 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     wide = index.groupBy("h").agg(F.sum("weight").alias("members")).where("members > 1").select("h")
     reps = nodes.groupBy("g").agg(F.min(F.struct("rare", "node")).alias("rep"), F.min("n").alias("n"), F.count("*").alias("n_nodes"))
     buckets = saved(index.select("h", "g").join(wide, "h").join(reps, "g").select("h", "g", "n", "n_nodes", F.col("rep.rare").alias("rare"), F.col("rep.node").alias("rep")), "buckets")
+    release(df.sparkSession)
 
     # The hub of each bucket, and of each group the hub that most of its buckets name.
     hubs = buckets.groupBy("h").agg(F.min(F.struct("rare", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("g").alias("hub_g"))).alias("x")).select("h", "x.hub", "x.hub_n", "x.hub_g")
@@ -245,6 +246,7 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     first = nodes.select("node", "g").join(named.union(inside), "g").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     first = saved(first, "pairs1")
     links = saved(verified(docs, nodes, first, k, percent), "links1")
+    release(df.sparkSession)
 
     # What may still link two classes: members outside their hub's class, against all of another class.
     label = components(links)
@@ -256,14 +258,24 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     total = F.col("n") + F.col("l_n")
     # |A n B| = (total - difference) / 2, and 100 |A n B| >= percent (total - |A n B|).
     possible = (100 + percent) * (total - distance) >= 2 * percent * total
+    # Each bucket that two such sets share names them once, so that their count is the number of shingles that their
+    # prefixes share. Whichever prefix ends first in the order shares nothing more below its end; what is left of
+    # that set bounds the rest of the intersection.
+    rest = F.greatest(*(F.ceil(F.col(c) * percent / 100) - 1 for c in ("n_x", "n_y")))
+    other = member.select("h", "node", "n", "label", (F.col("label") != F.col("main")).alias("minor"), *(f"b{j}" for j in range(_SKETCH)))
+    once = (F.col("label") != F.col("l_label")) & (~F.col("minor") | (F.col("l_node") < F.col("node")))
     cross = (
-        left.join(member, (left["h"] == member["h"]) & (F.col("label") != F.col("l_label")) & _similar_sizes(F.col("n"), F.col("l_n"), percent) & possible)
-        .select(F.least("node", "l_node").alias("x"), F.greatest("node", "l_node").alias("y"), "n", "l_n").distinct()
-        .select(F.col("y").alias("a"), F.col("x").alias("b")).distinct()
+        left.join(other, (left["h"] == other["h"]) & once & _similar_sizes(F.col("n"), F.col("l_n"), percent) & possible)
+        .select(F.least("node", "l_node").alias("x"), F.greatest("node", "l_node").alias("y"), F.when(F.col("node") < F.col("l_node"), F.col("n")).otherwise(F.col("l_n")).alias("n_x"), F.when(F.col("node") < F.col("l_node"), F.col("l_n")).otherwise(F.col("n")).alias("n_y"))
+        .groupBy("x", "y", "n_x", "n_y").agg(F.count("*").alias("common"))
+        .where((100 + percent) * (F.col("common") + rest) >= percent * (F.col("n_x") + F.col("n_y")))
+        .select(F.col("y").alias("a"), F.col("x").alias("b"))
     )
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     second = saved(cross.join(tried, ["a", "b"], "left_anti"), "pairs2")
-    more = verified(docs, nodes, second, k, percent)
+    release(df.sparkSession)
+    more = saved(verified(docs, nodes, second, k, percent), "links2")
+    release(df.sparkSession)
     final = components(links.union(more), "classes")
     classes = nodes.join(final, "node", "left").select("s1", "s2", "n", F.coalesce("label", "node").alias("class"))
     out = every.select("id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
