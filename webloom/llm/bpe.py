@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import fresh
+
 #: Entries of each worker's cache of encoded pre-tokens, at most; and the longest pre-token that is kept.
-CACHED, CACHED_CHARS = 400_000, 64
+CACHED, CACHED_CHARS = 200_000, 64
 _BITS = 8
 _MASK = (1 << _BITS) - 1
 
@@ -170,15 +172,19 @@ def codec(path: str, pattern: str) -> Codec:
     return _open[path, pattern]
 
 
+def _lists(raw: list[bytes]) -> pa.Array:
+    """array<int> of packed ids."""
+    bounds = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
 def encode_text(text: Column, path: str, pattern: str) -> Column:
     """array<int>: the ids of the whole text, each match of ``pattern`` merged by itself. Null and empty: no ids."""
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for texts in batches:
-            raw = [own.encode(x) for x in texts.to_pylist()]
-            bounds = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int64)
-            yield pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            yield _lists([own.encode(x) for x in texts.to_pylist()])
 
     return ids(text)
 
@@ -197,6 +203,18 @@ def decode_ids(ids: Column, path: str, pattern: str) -> Column:
 def bpe_roundtrip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the ids of ``text`` and the bytes decoded from these ids.
 
-    Other columns stay; one named as an output is replaced. An empty table gives an empty one.
+    Both are made in one pass, by one codec in one worker. Other columns stay; one named as an output is replaced.
+    An empty table gives an empty one.
     """
-    return df.withColumn(ids, encode_text(F.col(text), path, pattern)).withColumn(decoded, decode_ids(F.col(ids), path, pattern))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path, pattern)
+        for texts in batches:
+            raw = [own.encode(x) for x in texts.to_pylist()]
+            back = [own.decode(np.frombuffer(x, "<i4").tolist()) for x in raw]
+            yield pa.StructArray.from_arrays([_lists(raw), pa.array(back, pa.binary())], ["ids", "decoded"])
+
+    name = fresh(df, "both")["both"]
+    out = df.withColumn(name, both(F.col(text)))
+    return out.withColumn(ids, F.col(name)["ids"]).withColumn(decoded, F.col(name)["decoded"]).drop(name)

@@ -83,10 +83,10 @@ def _scan(shared, seed: int, coverage: float):
             sieve[(h & np.uint64((1 << _SIEVE) - 1)).astype(np.int64)] = True
             tables.append((k, h[order], at[order], sieve))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), words.as_bytes(batch.column(1))
+            ids, a = batch.column(0).to_pylist(), 0
             rows: list[tuple] = []
-            for a in range(0, len(texts), 256):
-                h, bounds = words.hashed_words(texts[a : a + 256], words.SIGNS)
+            for texts in words.in_parts(batch.column(1)):
+                h, bounds = words.hashed_words(texts, words.SIGNS)
                 todo = set()
                 for k, known, at, sieve in tables:
                     g = words.grams(h, k)
@@ -102,6 +102,7 @@ def _scan(shared, seed: int, coverage: float):
                     matched = sum(n for *_, n in found)
                     if found and matched >= coverage * len(item):
                         rows.append((ids[a + d], ids_of[i], len(item), matched, len(found), max(n for *_, n in found), matched / len(item)))
+                a += len(texts)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if j == 6 else pa.int64()) for j, x in enumerate(zip(*rows, strict=True))], ["doc_id", "item_id", "item_words", "matched_words", "n_tiles", "longest", "coverage"])
 

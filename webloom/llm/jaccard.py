@@ -52,9 +52,8 @@ def _local_counts(k: int):
             return pa.RecordBatch.from_arrays([pa.array(_signed(h[many])), pa.array(n[many].astype(np.int64))], ["h", "n"])
 
         for batch in batches:
-            texts = words.as_bytes(batch.column(0))
-            for a in range(0, len(texts), 256):
-                some = words.shingle_sets(texts[a : a + 256], k)
+            for texts in words.in_parts(batch.column(0)):
+                some = words.shingle_sets(texts, k)
                 held += some
                 size += sum(map(len, some))
                 if size > _HELD:
@@ -92,10 +91,10 @@ def _features(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = shared.value
         for batch in batches:
-            ids, texts = batch.column(0), words.as_bytes(batch.column(1))
-            for a in range(0, len(texts), 256):
+            ids, a = batch.column(0), 0
+            for texts in words.in_parts(batch.column(1)):
                 n, s1, s2, g, rare, sketch, prefixes = [], [], [], [], [], [], []
-                for s in words.shingle_sets(texts[a : a + 256], k):
+                for s in words.shingle_sets(texts, k):
                     size = len(s)
                     freq = np.zeros(size, np.int64)
                     if len(known) and size:
@@ -115,6 +114,7 @@ def _features(k: int, percent: int, shared):
                 sk = np.stack(sketch)
                 columns = [ids.slice(a, len(n)), pa.array(n, pa.int64()), *(pa.array(_signed(np.array(x, np.uint64))) for x in (s1, s2, g)), pa.array(rare), *(pa.array(np.ascontiguousarray(sk[:, j])) for j in range(_SKETCH)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(_signed(np.concatenate(prefixes))))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", "g", "rare", *(f"b{j}" for j in range(_SKETCH)), "prefix"])
+                a += len(n)
 
     return run
 
@@ -131,12 +131,13 @@ def _sets(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places, of = words.as_bytes(batch.column("text")), batch.column("places").to_pylist(), batch.column("s1").to_pylist()
+            places, of, i = batch.column("places").to_pylist(), batch.column("s1").to_pylist(), -1
             nodes = batch.column("node").to_pylist()
             rows: list[tuple] = []
             size = 0
-            for a in range(0, len(texts), 64):
-                for i, s in enumerate(words.shingle_sets(texts[a : a + 64], k), a):
+            for texts in words.in_parts(batch.column("text"), 64):
+                for s in words.shingle_sets(texts, k):
+                    i += 1
                     if not len(s) or int(words.mix(s).sum(dtype=np.uint64).astype(np.int64)) != of[i]:
                         continue
                     raw = s.tobytes()

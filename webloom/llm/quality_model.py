@@ -162,10 +162,9 @@ def score(df: DataFrame, model: Model, text: str = "text") -> Column:
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for column in batches:
-            texts = words.as_bytes(column)
             out = [np.zeros(0)]
-            for a in range(0, len(texts), 64):
-                x = (pooled(texts[a : a + 64], m.vectors) - m.mean) / m.spread
+            for texts in words.in_parts(column, 64):
+                x = (pooled(texts, m.vectors) - m.mean) / m.spread
                 out.append(sigmoid(_forward(m.layers, x)[1] / m.temperature))
             yield pa.array(np.concatenate(out))
 

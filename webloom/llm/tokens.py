@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the broadcast table, and of each worker's cache, at most.
-FREQUENT, CACHED = 50_000, 400_000
+FREQUENT, CACHED = 50_000, 200_000
 #: Rows from which the frequent pre-tokens are taken. They decide speed alone, never a count.
 SAMPLE_ROWS = 2_000
 MARK = "▁"

@@ -59,9 +59,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
         labels = batch.column(1).to_numpy(zero_copy_only=False)
-        texts = words.as_bytes(batch.column(0))
-        for a in range(0, len(texts), 64):
-            parts = [np.unique(of * (1 << BITS) + h) for h, of in ngrams(texts[a : a + 64])]
+        for a, texts in zip(range(0, len(labels), 64), words.in_parts(batch.column(0), 64), strict=True):
+            parts = [np.unique(of * (1 << BITS) + h) for h, of in ngrams(texts)]
             keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
             of, h = keys >> BITS, keys & ((1 << BITS) - 1)
             some = labels[a : a + 64]
@@ -142,10 +141,9 @@ def score(df: DataFrame, model: Model, text: str = "text") -> Column:
         slot = np.full(1 << BITS, -1, np.int32)
         slot[m.ids] = np.arange(len(m.ids))
         for column in batches:
-            texts = words.as_bytes(column)
             z = []
-            for a in range(0, len(texts), 64):
-                z += [m.weights[x].sum() for x in present(texts[a : a + 64], slot)]
+            for texts in words.in_parts(column, 64):
+                z += [m.weights[x].sum() for x in present(texts, slot)]
             yield pa.array(sigmoid(np.array(z, float) + m.bias))
 
     return scored(F.col(text))

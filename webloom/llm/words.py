@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -30,7 +30,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
-    size = 1 << max(20, int(n).bit_length())
+    size = 1 << max(19, int(n).bit_length())
     if size not in _powers:
         _powers.clear()
         both = []
@@ -132,6 +132,12 @@ def shingle_sets(texts: list[bytes], k: int = 5, lower: bool = True) -> list[np.
     return out
 
 
+def in_parts(column, rows: int = 256) -> Iterator[list[bytes]]:
+    """The texts of an Arrow column, a few rows at a time."""
+    for a in range(0, len(column), rows):
+        yield as_bytes(column.slice(a, rows))
+
+
 def as_bytes(column) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null is empty."""
     import pyarrow as pa
