@@ -19,6 +19,7 @@ from webloom.llm.common import SPACE, fresh
 #: Rows on which costs and selectivities are estimated; they decide the order of the rules, not the verdict.
 SAMPLE_ROWS = 500
 SYMBOLS = "#*$%&|<>"
+METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,10 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn(c["hits"], F.transform(hits, lambda x: x["i"]))
     h = F.col(c["hits"])
     covered = F.size(F.array_distinct(F.concat(h, F.transform(h, lambda i: i + 1), F.transform(h, lambda i: i + 2))))
-    return out.withColumn("n_repeat_words", F.when(F.size(h) > 0, covered).otherwise(0).cast("long")).drop(*c.values())
+    out = out.withColumn("n_repeat_words", F.when(F.size(h) > 0, covered).otherwise(0).cast("long"))
+    # A generator between metrics and what uses them: the optimizer would else copy their expressions into each
+    # filter on a verdict, nested as they are, and take forever.
+    return out.select(*(x for x in df.columns if x not in METRICS), F.inline(F.array(F.struct(*METRICS))))
 
 
 #: The production rules. Base: too few words, and too many words in repeated windows. The others reject markup
