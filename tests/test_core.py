@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def column(spark, rows, schema, expr):
-    return [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, " + schema).orderBy("n").select(expr).collect()]
+    return [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_row int, " + schema).orderBy("_row").select(expr).collect()]
 
 
 def test_make_absolute(spark):
