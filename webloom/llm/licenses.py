@@ -2,14 +2,14 @@
 
 All k-grams of a text's words are joined with the positions of the same k-grams in license templates. A hit at word
 i of the text and word j of a template votes for the diagonal i - j; votes are summed by diagonal, neighbouring
-diagonals (where words were put in or left out) are merged into spans, and a span counts when enough of the
-template's k-grams stand in it. A phrase to be found exactly is a template whose every k-gram must vote on one
+diagonals (where words were put in or left out) are merged into spans, and a span counts when enough different
+k-grams of the template stand in it. A phrase to be found exactly is a template whose every k-gram must vote on one
 diagonal. The join is on the k-gram's hash and on its words, so no hash stands unverified. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.common import ascii_lower
@@ -67,23 +67,20 @@ def spans(df: DataFrame, doc: Column, words: Column, templates: tuple[tuple[str,
         .join(F.broadcast(table), "gram")
         .select("doc", "template", "label", "exact", "need", "i", "at", (F.col("i") - F.col("at")).alias("diagonal"))
     )
-    votes = hits.groupBy("doc", "template", "label", "exact", "need", "diagonal").agg(F.count_distinct("at").alias("votes"), F.min("i").alias("first"))
-    exact = votes.where("exact AND votes = need").select("doc", "label", "exact", F.col("diagonal").alias("start"), "votes", "need")
-    # Of one document and template: diagonals in order, a new span where two lie more than ``drift`` apart.
+    votes = hits.groupBy("doc", "template", "label", "exact", "need", "diagonal").agg(F.collect_set("at").alias("ats"))
+    exact = votes.where("exact AND size(ats) = need").select("doc", "label", "exact", F.col("diagonal").alias("start"), F.size("ats").cast("long").alias("votes"), "need")
+    # Of one document and template: diagonals in order, a new span where two lie more than ``drift`` apart. A span is
+    # verified on the different k-grams of the template that it holds: one that is repeated counts once.
+    order = Window.partitionBy("doc", "template").orderBy("diagonal")
+    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(order) > drift, 1).otherwise(0)
     merged = (
         votes.where("NOT exact")
-        .groupBy("doc", "template", "label", "need").agg(F.sort_array(F.collect_list(F.struct("diagonal", "votes"))).alias("d"))
-        .withColumn("d", F.aggregate(
-            "d",
-            F.expr("CAST(array() AS array<struct<start:int,last:int,votes:bigint>>)"),
-            lambda acc, x: F.when(
-                (F.size(acc) > 0) & (x["diagonal"] - F.element_at(acc, -1)["last"] <= drift),
-                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), x["diagonal"].alias("last"), (F.element_at(acc, -1)["votes"] + x["votes"]).alias("votes")))),
-            ).otherwise(F.concat(acc, F.array(F.struct(x["diagonal"].alias("start"), x["diagonal"].alias("last"), x["votes"].alias("votes"))))),
-        ))
-        .select("doc", "label", "need", F.explode("d").alias("d"))
-        .where(F.col("d.votes") >= coverage * F.col("need"))
-        .select("doc", "label", F.lit(False).alias("exact"), F.greatest(F.col("d.start"), F.lit(0)).alias("start"), F.least(F.col("d.votes"), F.col("need").cast("long")).alias("votes"), "need")
+        .withColumn("apart", apart)
+        .withColumn("span", F.sum("apart").over(order))
+        .select("doc", "template", "label", "need", "span", "diagonal", F.explode("ats").alias("at"))
+        .groupBy("doc", "template", "label", "need", "span").agg(F.min("diagonal").alias("diagonal"), F.count_distinct("at").alias("votes"))
+        .where(F.col("votes") >= coverage * F.col("need"))
+        .select("doc", "label", F.lit(False).alias("exact"), F.greatest(F.col("diagonal"), F.lit(0)).alias("start"), "votes", "need")
     )
     return exact.unionByName(merged)
 
