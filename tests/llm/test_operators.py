@@ -41,7 +41,7 @@ def test_rules(spark):
         return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(full) - len(set(full)), len(covered)
 
     rows = [*AWKWARD, (11, "a b a b a b\na b\nx\n a b\n\n"), (12, "a|b & <c> #"), (13, "p q r x p q r y p q r")]
-    got = quality_rules.quality_cascade(table(spark, rows)).select("text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "rejected_by", "id").collect()
+    got = quality_rules.quality_cascade(table(spark, rows), metrics=True).select("text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "rejected_by", "id").collect()
     assert len(got) == len(rows)
     for r in got:
         assert tuple(r[1:6]) == brute(r.text) and r.id == "keep"
@@ -49,7 +49,16 @@ def test_rules(spark):
     rules = quality_rules.default_rules()
     some = quality_rules.measured(table(spark, rows))
     assert some.where(quality_rules.verdict(rules).isNull() != quality_rules.verdict(rules[::-1]).isNull()).count() == 0
-    assert quality_rules.quality_cascade(table(spark, [])).count() == 0
+    # Rule by rule, the verdict to keep is the same, and a column named as a metric stays as it was.
+    some = table(spark, rows + [(14, " ".join(f"w{i}" for i in range(80))), (15, "a b c " * 40)]).withColumn("n_words", F.lit("mine"))
+    lazy = quality_rules.quality_cascade(some)
+    assert lazy.columns == [*some.columns, "rejected_by"]
+    full = quality_rules.quality_cascade(some, metrics=True).select("doc_id", "text", F.col("rejected_by").isNull().alias("keep")).collect()
+    brief = lazy.collect()
+    key = lambda r: (str(r[0]), str(r[1]), r[2])
+    assert sorted(map(key, full)) == sorted(key((r.doc_id, r.text, r.rejected_by is None)) for r in brief) and all(r.n_words == "mine" for r in brief)
+    assert [r.doc_id for r in brief if r.rejected_by is None] == [14]
+    assert quality_rules.quality_cascade(table(spark, [])).count() == quality_rules.quality_cascade(table(spark, []), metrics=True).count() == 0
 
 
 def test_tiles():
@@ -193,13 +202,14 @@ def test_licenses(spark):
     mit = dict(licenses.TEMPLATES)["mit"]
     gap = mit.split()
     gap = " ".join(gap[:20] + ["really", "very"] + gap[20:])
-    rows = [*AWKWARD, (40, "Under the MIT-License, under the\nmit license"), (41, "Apache License, Version 2.0 and CC BY-NC"), (42, f"x {gap} y"), (43, "under the mit"), (44, "cc by nc " * 3)]
+    rows = [*AWKWARD, (40, "Under the MIT-License, under the\nmit license"), (41, "Apache License, Version 2.0 and CC BY-NC"), (42, f"x {gap} y"), (43, "under the mit"), (44, "cc by nc " * 3), (45, "all rights reserved " * 30)]
     got = {(r.doc_id, r.n_words): r for r in licenses.license_scan(table(spark, rows)).collect()}
     by = {k[0]: r for k, r in got.items()}
     assert (by[40].n_base, by[40].first_word, by[40].last_word, by[40].base_labels) == (2, 0, 4, "mit")
     assert by[41].base_labels == "apache-2,cc-by-nc" and (by[41].first_word, by[41].last_word) == (0, 6)
     assert by[42].n_base == 0 and by[42].labels == "mit" and 0.6 < by[42].score <= 1 and by[42].first_word is None
     assert by[43].labels == "" and by[43].score == 0 and by[44].n_base == 3
+    assert by[45].labels == "" and by[45].score == 0  # one k-gram, however often, is no template
     assert by[1].n_words == 0 and by[8].n_words == 40000
     assert licenses.license_scan(table(spark, rows)).count() == len(rows)
 

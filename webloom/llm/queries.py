@@ -24,7 +24,7 @@ def hexdigest(text: Column) -> Column:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.quality_cascade(read(spark, sf_dir, "documents", "doc_id", "text"))
+    judged = quality_rules.quality_cascade(read(spark, sf_dir, "documents", "doc_id", "text"), metrics=True)
     n = F.col("n_words")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
