@@ -68,21 +68,19 @@ def spans(df: DataFrame, doc: Column, words: Column, templates: tuple[tuple[str,
         .select("doc", "template", "label", "exact", "need", "i", "at", (F.col("i") - F.col("at")).alias("diagonal"))
     )
     votes = hits.groupBy("doc", "template", "label", "exact", "need", "diagonal").agg(F.collect_set("at").alias("ats"))
-    exact = votes.where("exact AND size(ats) = need").select("doc", "label", "exact", F.col("diagonal").alias("start"), F.size("ats").cast("long").alias("votes"), "need")
-    # Of one document and template: diagonals in order, a new span where two lie more than ``drift`` apart. A span is
-    # verified on the different k-grams of the template that it holds: one that is repeated counts once.
+    # Of one document and template: diagonals in order, a new span where two lie more than ``drift`` apart; each
+    # diagonal of an exact phrase is a span of its own. A span is verified on the different k-grams of the template
+    # that it holds: one that is repeated counts once. One flow serves both kinds, so that texts are read once.
     order = Window.partitionBy("doc", "template").orderBy("diagonal")
-    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(order) > drift, 1).otherwise(0)
-    merged = (
-        votes.where("NOT exact")
-        .withColumn("apart", apart)
+    apart = F.when(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(order) > drift), 1).otherwise(0)
+    return (
+        votes.withColumn("apart", apart)
         .withColumn("span", F.sum("apart").over(order))
-        .select("doc", "template", "label", "need", "span", "diagonal", F.explode("ats").alias("at"))
-        .groupBy("doc", "template", "label", "need", "span").agg(F.min("diagonal").alias("diagonal"), F.count_distinct("at").alias("votes"))
-        .where(F.col("votes") >= coverage * F.col("need"))
-        .select("doc", "label", F.lit(False).alias("exact"), F.greatest(F.col("diagonal"), F.lit(0)).alias("start"), "votes", "need")
+        .select("doc", "template", "label", "exact", "need", "span", "diagonal", F.explode("ats").alias("at"))
+        .groupBy("doc", "template", "label", "exact", "need", "span").agg(F.min("diagonal").alias("diagonal"), F.count_distinct("at").alias("votes"))
+        .where(F.col("votes") >= F.when(F.col("exact"), F.col("need")).otherwise(coverage * F.col("need")))
+        .select("doc", "label", "exact", F.greatest(F.col("diagonal"), F.lit(0)).alias("start"), "votes", "need")
     )
-    return exact.unionByName(merged)
 
 
 def license_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
