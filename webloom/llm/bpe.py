@@ -16,6 +16,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,35 +26,43 @@ from webloom.llm.common import fresh
 CACHED, CACHED_CHARS = 200_000, 64
 _BITS = 8
 _MASK = (1 << _BITS) - 1
+_BIT = [1 << i for i in range(1 << _BITS)]
+#: Bytes of text that are encoded at once: what a worker holds beside its cache and the Arrow batch that it got.
+SLICE = 1 << 20
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[list[int]] | None = None) -> list[int]:
     """The ids of one pre-token: merges pairs by lowest rank, leftmost first, until no pair is in ``ranks``.
 
     The queue lives in local variables, as its calls would cost more than its work: ``buckets`` has the heap of
-    positions of each rank in use, ``leaves`` and ``top`` are the two levels of bitmaps over the ranks.
+    positions of each rank in use, ``leaves`` and ``top`` are the two levels of bitmaps over the ranks. ``pairs``
+    has the ranks of all pairs of bytes, -1 for none (see ``byte_pairs``).
     """
-    get = ranks.get
+    get, bit = ranks.get, _BIT
     whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    wanted = [-1] * n  # the rank of the pair that starts here; -1: none, or merged away
+    pairs = pairs or byte_pairs(ranks)
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    ids = [-1] * n  # what a merge has made of the bytes from here on; a rank is the id of what it makes
+    wanted = [pairs[a][b] for a, b in zip(piece, piece[1:])]  # the rank of the pair that starts here
+    wanted.append(-1)  # -1: none, or merged away
     buckets: dict[int, list[int]] = {}
     leaves: dict[int, int] = {}
     top = 0
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            wanted[i] = rank
+    for i, rank in enumerate(wanted):
+        if rank >= 0:
             if rank in buckets:
                 buckets[rank].append(i)  # ascending, thus a heap
             else:
                 buckets[rank] = [i]
                 leaf = rank >> _BITS
-                leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & _MASK)
-                top |= 1 << leaf
+                if leaf in leaves:
+                    leaves[leaf] |= bit[rank & _MASK]
+                else:
+                    leaves[leaf] = bit[rank & _MASK]
+                    top |= 1 << leaf
     while top:
         leaf = (top & -top).bit_length() - 1
         bits = leaves[leaf]
@@ -65,48 +74,63 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         else:
             i = bucket[0]
             del buckets[rank]
-            bits ^= low
-            leaves[leaf] = bits
-            if not bits:
+            if bits == low:
+                del leaves[leaf]
                 top ^= 1 << leaf
+            else:
+                leaves[leaf] = bits ^ low
         if wanted[i] != rank:
             continue  # a neighbour's merge has outdated it
         gone = after[i]
         end = after[gone]
         after[i] = end
-        wanted[gone] = wanted[i] = -1
-        left = before[i]
+        ids[i] = rank
+        wanted[gone] = -1
         if end < n:
             before[end] = i
-            rank = get(piece[i : after[end]])
-            if rank is not None:
-                wanted[i] = rank
+            wanted[i] = rank = get(piece[i : after[end]], -1)
+            if rank >= 0:
                 if rank in buckets:
                     heappush(buckets[rank], i)
                 else:
                     buckets[rank] = [i]
                     leaf = rank >> _BITS
-                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & _MASK)
-                    top |= 1 << leaf
+                    if leaf in leaves:
+                        leaves[leaf] |= bit[rank & _MASK]
+                    else:
+                        leaves[leaf] = bit[rank & _MASK]
+                        top |= 1 << leaf
+        else:
+            wanted[i] = -1
+        left = before[i]
         if left >= 0:
-            rank = get(piece[left:end])
-            if rank is None:
-                wanted[left] = -1
-            else:
-                wanted[left] = rank
+            wanted[left] = rank = get(piece[left:end], -1)
+            if rank >= 0:
                 if rank in buckets:
                     heappush(buckets[rank], left)
                 else:
                     buckets[rank] = [left]
                     leaf = rank >> _BITS
-                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & _MASK)
-                    top |= 1 << leaf
-    ids, i = [], 0
+                    if leaf in leaves:
+                        leaves[leaf] |= bit[rank & _MASK]
+                    else:
+                        leaves[leaf] = bit[rank & _MASK]
+                        top |= 1 << leaf
+    out, i = [], 0
     while i < n:
         end = after[i]
-        ids.append(ranks[piece[i:end]])
+        out.append(ids[i] if end > i + 1 else ranks[piece[i:end]])
         i = end
-    return ids
+    return out
+
+
+def byte_pairs(ranks: dict[bytes, int]) -> list[list[int]]:
+    """The rank of each pair of bytes, -1 where it has none."""
+    out = [[-1] * 256 for _ in range(256)]
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            out[token[0]][token[1]] = rank
+    return out
 
 
 #: Letters, numbers and white space below U+0180: for texts within that range the standard library's faster
@@ -125,6 +149,7 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.pairs = byte_pairs(self.ranks)
         self.find = regex.compile(pattern).findall
         narrow = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_S}{_L}{_N}]").replace(r"\p{L}", f"[{_L}]").replace(r"\p{N}", f"[{_N}]").replace(r"\S", f"[^{_S}]").replace(r"\s", f"[{_S}]")
         self.find_narrow = re.compile(narrow).findall if "\\p" not in narrow else self.find
@@ -139,7 +164,7 @@ class Codec:
             def __missing__(self, piece: str) -> bytes:
                 ids = self.old.get(piece)
                 if ids is None:
-                    found = merge(piece.encode(), own.ranks)
+                    found = merge(piece.encode(), own.ranks, own.pairs)
                     ids = pack(f"<{len(found)}i", *found)
                 if len(piece) <= CACHED_CHARS:
                     if len(self) >= cached:
@@ -178,13 +203,26 @@ def _lists(raw: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
 
 
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[pa.Array]:
+    """A column in pieces of about ``most`` bytes, one row at least."""
+    a, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
+        if size > most and i > a:
+            yield texts.slice(a, i - a)
+            a, size = i, n or 0
+    if a < len(texts):
+        yield texts.slice(a)
+
+
 def encode_text(text: Column, path: str, pattern: str) -> Column:
     """array<int>: the ids of the whole text, each match of ``pattern`` merged by itself. Null and empty: no ids."""
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for texts in batches:
-            yield _lists([own.encode(x) for x in texts.to_pylist()])
+        for column in batches:
+            for texts in slices(column):
+                yield _lists([own.encode(x) for x in texts.to_pylist()])
 
     return ids(text)
 
@@ -203,17 +241,18 @@ def decode_ids(ids: Column, path: str, pattern: str) -> Column:
 def bpe_roundtrip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the ids of ``text`` and the bytes decoded from these ids.
 
-    Both are made in one pass, by one codec in one worker. Other columns stay; one named as an output is replaced.
+    Both are made in one pass, by one codec in one worker, in slices of about ``SLICE`` bytes of text. Other columns stay; one named as an output is replaced.
     An empty table gives an empty one.
     """
 
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for texts in batches:
-            raw = [own.encode(x) for x in texts.to_pylist()]
-            back = [own.decode(np.frombuffer(x, "<i4").tolist()) for x in raw]
-            yield pa.StructArray.from_arrays([_lists(raw), pa.array(back, pa.binary())], ["ids", "decoded"])
+        for column in batches:
+            for texts in slices(column):
+                raw = [own.encode(x) for x in texts.to_pylist()]
+                back = [own.decode(np.frombuffer(x, "<i4").tolist()) for x in raw]
+                yield pa.StructArray.from_arrays([_lists(raw), pa.array(back, pa.binary())], ["ids", "decoded"])
 
     name = fresh(df, "both")["both"]
     out = df.withColumn(name, both(F.col(text)))
