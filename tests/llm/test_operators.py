@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,32 @@ def test_bpe(spark):
         assert list(r.ids) == known.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode() and r.node == "keep"
 
 
+def test_bpe_merge_against_a_plain_scan():
+    known = ranks()
+
+    def plain(piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            best = min(((known[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in known), default=None)
+            if best is None:
+                return [known[x] for x in parts]
+            i = best[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    rng = random.Random(9)
+    pairs = bpe.byte_pairs(known)
+    for _ in range(3000):
+        piece = bytes(rng.choice(b"aabtheion \xc3\xa9\xff0") for _ in range(rng.randrange(1, 30)))
+        assert bpe.merge(piece, known, pairs) == plain(piece)
+
+
+def test_bpe_slices():
+    column = pa.array(["x" * 5, None, "", "y" * 100, "z" * 3, "w" * 3])
+    parts = list(bpe.slices(column, 8))
+    assert [x for p in parts for x in p.to_pylist()] == column.to_pylist() and [len(p) for p in parts] == [3, 1, 2]
+    assert list(bpe.slices(pa.array([], pa.string()))) == []
+
+
 def test_bpe_cache_generations():
     own = bpe.Codec(public.path("byte_bpe_50k.tiktoken"), public.PATTERN, cached=3)
     text = " ".join(f"w{i % 7}" for i in range(60))
@@ -225,6 +252,29 @@ def test_tokens(spark):
         assert r.n_tokens == len(sp.encode(r.text or "")) and r.over_limit == (r.n_tokens > 4096)
 
 
+def test_token_counter_in_any_order():
+    """One counter with a small cache over many texts: no text's count may hang on what came before."""
+    import sentencepiece
+
+    path = public.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(7)
+    parts = ["see", "river", "stone", "x", "\n", " ", "  ", "\n\n", " \n", "\n ", "\t", "é", "日本", "🙂", "▁", "▁▁", "<s>", "</s>", "\x00", "\r\n", "ﬁ", "\u00a0", "\u3000", "\u200b", "word", "12", ".", "\ufeff", "\x7f", "½"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(6000)] + ["see\nriver", "x \nriver stone"]
+    for first in ({}, {"see": len(sp.encode("see")), "river": len(sp.encode("river"))}):
+        own = tokens.Counter_(path, first, cached=300)
+        rng.shuffle(texts)
+        assert [t for t in texts if own.count(t) != len(sp.encode(t))] == []
+
+
+def test_frequent_lengths(spark):
+    path = public.path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(" ".join(["often"] * 9 + [f"w{i}", "some\nline"]),) for i in range(50)] + [(None,), ("",)], "text string").repartition(5)
+    words_, lengths = tokens.frequent_lengths(df, "text", path, frequent=3, a_task=2)
+    assert "often" in words_.split("\x00") and "\n" not in words_ and len(lengths) == len(words_.split("\x00")) <= 3
+    assert tokens.frequent_lengths(df.limit(0), "text", path) == ("", b"")
+
+
 def test_pieces():
     texts = [b"", b"a b", b"word " * 200000, b"x" * 700000 + b" y", b" "]
     h, bounds = words.hashed_words(texts)

@@ -1,8 +1,8 @@
 """Token counts under a SentencePiece model, by a map-side two-tier lookup.
 
 Tier one is a broadcast table of the lengths of frequent pre-tokens, tier two a bounded cache in each Python
-worker that the library itself fills on a miss. No pre-token is ever shuffled: the text is read once, and one
-number per row comes back.
+worker that the library itself fills on a miss. No pre-token is ever shuffled: one pass over the texts finds the
+frequent ones by a summary of fixed size per task, a second one looks up, and one number per row comes back.
 
 A pre-token is a space and what follows up to the next space. Cutting there is exact as long as no piece of the
 vocabulary has a word-start mark after another character; the model's pieces are checked for that when it is
@@ -16,14 +16,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the broadcast table, and of each worker's cache, at most.
 FREQUENT, CACHED = 50_000, 200_000
-#: Rows from which the frequent pre-tokens are taken. They decide speed alone, never a count.
-SAMPLE_ROWS = 2_000
+#: Entries of a task's own table of frequent pre-tokens, and tasks that add these tables up.
+A_TASK, MERGERS = 8_192, 16
 MARK = "▁"
+_ODD = re.compile(f"[\n\x00{MARK}]")
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _open: dict[str, Counter_] = {}
 
@@ -43,6 +45,7 @@ class Counter_:
         self.line = len(self.model.encode("\n")) - 1
         self.first = dict(frequent or {})
         self.cache: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
         self.cached = cached
 
     def _of(self, run: str) -> list[str]:
@@ -63,10 +66,10 @@ class Counter_:
         return len(self.model.encode(word))
 
     def bare(self, part: str) -> int:
-        key = "\n" + part
-        n = self.cache.get(key)
+        """As ``_bare``; its cache is its own, as a word may look like any key that could be made of a part."""
+        n = self.tails.get(part)
         if n is None:
-            n = self._keep(key, self._bare(part))
+            n = self._keep(self.tails, part, self._bare(part))
         return n
 
     def word(self, word: str) -> int:
@@ -76,14 +79,14 @@ class Counter_:
         if n is None:
             n = self._length(word)
             if "\n" not in word:
-                self._keep(word, n)
+                self._keep(self.cache, word, n)
         return n
 
-    def _keep(self, key: str, n: int) -> int:
+    def _keep(self, cache: dict[str, int], key: str, n: int) -> int:
         if len(key) <= 64:
-            if len(self.cache) >= self.cached:
-                self.cache.clear()
-            self.cache[key] = n
+            if len(cache) >= self.cached:
+                cache.clear()
+            cache[key] = n
         return n
 
     def count(self, text: str | None) -> int:
@@ -114,35 +117,75 @@ def counter(model: str, packed: tuple[str, bytes] | None) -> Counter_:
     return _open[model]
 
 
-def frequent_lengths(df: DataFrame, text: str, model: str, frequent: int = FREQUENT, sample_rows: int = SAMPLE_ROWS) -> tuple[str, bytes]:
-    """The first tier in compact form: words joined by NUL, and a byte of length for each.
+def _pack(seen: Counter[str], most: int) -> pa.RecordBatch:
+    top = seen.most_common(most)
+    return pa.RecordBatch.from_arrays([pa.array(["\x00".join(w for w, _ in top)], pa.large_string()).cast(pa.string()), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["words", "counts"])
 
-    Counted in the tasks on ``sample_rows`` rows: a table of at most ``frequent`` entries, whatever the input.
-    """
 
-    def tally(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def _kept(seen: Counter[str], most: int) -> Counter[str]:
+    """At most ``most`` words: the most frequent ones, once there are eight times as many."""
+    return seen if len(seen) <= 8 * most else Counter(dict(seen.most_common(most)))
+
+
+def _tally(most: int):
+    """The most frequent pre-tokens of a task's texts: one row of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                for t in batch.column(0).slice(a, 64).to_pylist():
+                    seen.update((t or "").split(" "))
+                seen = _kept(seen, most)
+        yield _pack(Counter({w: n for w, n in seen.items() if n > 1 and len(w) <= 64 and not _ODD.search(w)}), most)
+
+    return run
 
+
+def _merged(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        for batch in batches:
+            for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.update(dict(zip(words.split("\x00"), counts, strict=True)) if counts else {})
+                seen = _kept(seen, most)
+        yield _pack(seen, most)
+
+    return run
+
+
+def _sized(model: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Counter_(model)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update((t or "").split(" "))
-        top = [w for w, _ in seen.most_common(frequent) if "\n" not in w and "\x00" not in w and MARK not in w and len(w) <= 64]
-        sized = [(w, n) for w, n in ((w, own.word(w)) for w in top) if n < 256]
-        yield pa.RecordBatch.from_pydict({"words": ["\x00".join(w for w, _ in sized)], "lengths": [bytes(n for _, n in sized)]})
-
-    few = df.select(F.col(text)).limit(sample_rows).coalesce(1)
-    row = few.mapInArrow(tally, "words string, lengths binary").first()
+            for words in batch.column(0).to_pylist():
+                sized = [(w, n) for w, n in ((w, own.word(w)) for w in filter(None, words.split("\x00"))) if n < 256]
+                yield pa.RecordBatch.from_pydict({"words": ["\x00".join(w for w, _ in sized)], "lengths": [bytes(n for _, n in sized)]})
+
+    return run
+
+
+def frequent_lengths(df: DataFrame, text: str, model: str, frequent: int = FREQUENT, a_task: int = A_TASK) -> tuple[str, bytes]:
+    """The first tier in compact form: words joined by NUL, and a byte of length for each.
+
+    Counted over all texts: each task gives the ``a_task`` pre-tokens that are most frequent in its own, ``MERGERS``
+    tasks add these rows up, and one the sums. What travels is a row of bounded size per task, never a pre-token of
+    its own; what the driver gets is a table of at most ``frequent`` entries. A count may miss what a task has cut
+    off: the table decides speed alone.
+    """
+    kind = "words string, counts array<long>"
+    rows = df.select(F.col(text)).mapInArrow(_tally(a_task), kind).repartition(MERGERS)
+    best = rows.mapInArrow(_merged(frequent), kind).coalesce(1).mapInArrow(_merged(frequent), kind)
+    row = best.mapInArrow(_sized(model), "words string, lengths binary").first()
     return (row.words, bytes(row.lengths)) if row and row.lengths else ("", b"")
 
 
-def token_counts(df: DataFrame, text: str, model: str, frequent: int = FREQUENT, sample_rows: int = SAMPLE_ROWS) -> Column:
+def token_counts(df: DataFrame, text: str, model: str, frequent: int = FREQUENT) -> Column:
     """A column: the number of tokens of the whole text, as the library's default encoding has it.
 
     Null and empty texts have 0 tokens. Special strings inside a text are ordinary text.
     """
-    table = df.sparkSession.sparkContext.broadcast(frequent_lengths(df, text, model, frequent, sample_rows))
+    table = df.sparkSession.sparkContext.broadcast(frequent_lengths(df, text, model, frequent))
 
     @F.pandas_udf("long")
     def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
