@@ -120,7 +120,11 @@ def test_chat(spark):
     assert chat.format_examples(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
 
-def test_jaccard(spark):
+@pytest.mark.parametrize("part", [2, jaccard.PART])
+def test_jaccard(spark, monkeypatch, part):
+    """Against all pairs; with small parts, hubs and buckets are dealt out many times over."""
+    monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "BUCKET_PART", part)
     rng = random.Random(5)
     base = [[f"w{rng.randrange(3000)}" for _ in range(120)] for _ in range(12)]
     passage = [f"p{i}" for i in range(40)]
@@ -134,6 +138,8 @@ def test_jaccard(spark):
                 w = w + passage
             rows.append((n, " ".join(w).upper() if rng.random() < 0.2 else " ".join(w)))
             n += 1
+    # Ids of several texts: one that joins two classes, two that share their least id's texts, one that stands alone.
+    rows += [(400, " ".join(base[0])), (400, " ".join(base[1])), (400, " ".join(base[1])), (401, " ".join(base[2])), (402, "u1 u2 u3 u4 u5 u6"), (402, "v1 v2 v3 v4 v5 v6"), (403, "v1 v2 v3 v4 v5 v6"), (404, "u1 u2 u3 u4 u5 u6"), (405, None), (405, "t1 t2")]
 
     def shingles(t):
         w = WORD.findall((t or "").translate(LOW))
@@ -152,14 +158,12 @@ def test_jaccard(spark):
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 x, y = find(i), find(j)
                 up[max(x, y)] = min(x, y)
+    assert find(403) == find(404) == 402
     got = jaccard.jaccard_classes(table(spark, rows)).collect()
     assert len(got) == len(rows)
-    sizes = dict(sets)
+    assert sorted((r.doc_id, r.n_shingles) for r in got if r.doc_id is not None) == sorted((i, len(x)) for i, x in sets)
     for r in got:
-        if r.doc_id is None:
-            assert r.component_id is None
-        else:
-            assert (r.n_shingles, r.component_id) == (len(sizes[r.doc_id]), find(r.doc_id))
+        assert r.component_id == (None if r.doc_id is None else find(r.doc_id) if r.n_shingles else r.doc_id)
     assert jaccard.jaccard_classes(table(spark, [])).count() == 0
 
 

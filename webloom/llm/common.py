@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The ten letters-to-letters pairs of ASCII case folding.
+#: The letters of ASCII case folding.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
@@ -38,27 +37,52 @@ def fresh(df: DataFrame, *wanted: str) -> dict[str, str]:
     return out
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` to the shared folder of spark.checkpoint.dir and reads it again.
+def quoted(name: str) -> str:
+    """A column's name for expressions, whatever signs are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, by quoted names."""
+    return [F.col(quoted(c)) for c in df.columns]
 
-    A lost executor then costs a reread, not a recomputation. Where the setting is absent (tests on one
-    machine), a folder below the warehouse is used, and set as the session's checkpoint folder.
-    """
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(top)
-        top = spark.sparkContext.getCheckpointDir()
-    path = f"{top.rstrip('/')}/webloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+#: Has Spark delete a query's shuffle files when the query ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def release(spark: SparkSession) -> None:
-    """Has the driver drop what nothing refers to any more, so that finished jobs' shuffle files leave the disks.
 
-    Spark deletes them when the driver happens to collect its garbage, which may be long after a large stage.
+class Scratch:
+    """Tables that cut lineage, in a folder of one call's own below the shared folder of spark.checkpoint.dir.
+
+    A lost executor then costs a reread, not a recomputation. The shuffle files of what is written go at once, as
+    nothing runs that plan again; a table goes when ``drop`` says that nothing reads it any more, and what a lazy
+    result still reads stays. Where the setting is absent (tests on one machine), a folder below the warehouse is
+    used, and set as the session's checkpoint folder.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not top:
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+            top = spark.sparkContext.getCheckpointDir()
+        self.path = f"{top.rstrip('/')}/webloom-{name}-{uuid.uuid4().hex}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, written as table ``name`` and read again."""
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.path}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more, on whatever store they are."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
