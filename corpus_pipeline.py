@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import bpe, decontam, jaccard, lines, queries, toxicity
-from webloom.llm.common import read, saved
+from webloom.llm.common import Scratch, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the folder's documents."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages, from the folder's documents. Each table goes once the next one is written."""
+    own, docs = Scratch(spark, "pipeline"), read(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = saved(docs, f"stage{number}")
+            docs = own.save(docs, f"stage{number}")
+        if 0 < number < len(STAGES) - 1:
+            own.drop(f"stage{number - 1}")
     return docs
