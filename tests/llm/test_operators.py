@@ -71,6 +71,68 @@ def test_tiles():
     assert sum(n for *_, n in decontam.tiles(same, same[:20], 5)) == 20
 
 
+def textbook_tiles(doc, item, seed):
+    """Greedy string tiling by its definition: mark the longest common run of unmarked words until none is left."""
+    in_doc, in_item, out = [False] * len(doc), [False] * len(item), []
+    while True:
+        best = None
+        for j in range(len(item)):
+            for i in range(len(doc)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and not in_doc[i + n] and not in_item[j + n]:
+                    n += 1
+                if n >= seed and (best is None or n > best[2]):
+                    best = (i, j, n)
+        if best is None:
+            return out
+        i, j, n = best
+        out.append(best)
+        in_doc[i : i + n] = in_item[j : j + n] = [True] * n
+
+
+def test_tiles_against_the_textbook():
+    rng = random.Random(2)
+    hashes = words.hashed_words([" ".join(f"w{i}" for i in range(30)).encode()], words.SIGNS)[0]
+    for _ in range(500):
+        kinds, seed = rng.choice([2, 3, 5, 20]), rng.choice([1, 2, 3, 5])
+        doc = [rng.randrange(kinds) for _ in range(rng.randrange(1, 40))]
+        item = [rng.randrange(kinds) for _ in range(rng.randrange(1, 25))]
+        at = rng.randrange(len(doc))
+        doc[at:at] = item[: rng.randrange(len(item) + 1)]
+        assert decontam.tiles(hashes[doc], hashes[item], seed) == textbook_tiles(doc, item, seed)
+        cut = rng.randrange(len(doc) + 1)
+        # Stretches: as if a word of no other place stood between them.
+        apart = decontam.tiles(hashes[doc], hashes[item], seed, [x for x in (cut, len(doc) - cut) if x])
+        assert apart == [(i - (i > cut), j, n) for i, j, n in textbook_tiles([*doc[:cut], -1, *doc[cut:]], item, seed)]
+
+
+def test_contaminated_against_brute_force(spark):
+    """Whole tables of random texts over few words, so that seeds, items and documents meet in many ways."""
+    rng = random.Random(8)
+    sentence = lambda n: [f"w{rng.randrange(40)}" for _ in range(n)]
+    items = [(i, sentence(rng.randrange(1, 30))) for i in range(25)]
+    shared = sentence(12)
+    items += [(i, shared + sentence(6)) for i in range(25, 30)]
+    docs = []
+    for i in range(120):
+        parts = [sentence(rng.randrange(30))]
+        for _ in range(rng.randrange(4)):
+            _, w = rng.choice(items)
+            a, b = sorted((rng.randrange(len(w) + 1), rng.randrange(len(w) + 1)))
+            parts += [w[a:b], sentence(rng.randrange(4))]
+        rng.shuffle(parts)
+        docs.append((i, [x for p in parts for x in p]))
+    wanted = set()
+    for i, doc in docs:
+        for j, item in items:
+            found = textbook_tiles(doc, item, min(5, len(item)))
+            matched = sum(n for *_, n in found)
+            if found and matched >= 0.5 * len(item):
+                wanted.add((i, j, len(item), matched, len(found), max(n for *_, n in found)))
+    got = decontam.contaminated(table(spark, [(i, " ".join(w)) for i, w in docs]), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    assert len(got) == len(wanted) > 50 and {tuple(r)[:6] for r in got} == wanted
+
+
 def test_decontamination(spark):
     item = "the quick brown fox jumps over the lazy dog while seven green birds sing loudly today"
     w = item.split()
@@ -78,10 +140,14 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "tiny item")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(table(spark, docs), bench).collect()}
     assert set(got) == {(20, 1), (21, 1), (23, 1)} and got[21, 1].n_tiles == 2
-    blocks = decontam.contaminated(table(spark, docs), bench, block_words=2)
-    assert {(r.doc_id, r.item_id) for r in blocks.collect()} == set(got)
     assert decontam.decontaminate(table(spark, docs), bench).count() == len(docs) - 3
     assert decontam.contaminated(table(spark, docs), bench.limit(0)).count() == 0
+    assert decontam.contaminated(table(spark, []), bench).count() == 0 and decontam.decontaminate(table(spark, []), bench).count() == 0
+    # A column of a helper's name, one with a dot, and a null id among the hits.
+    odd = table(spark, [*docs, (None, item)]).withColumn("_hit", F.lit("mine")).withColumn("a.b", F.lit("dot"))
+    kept = decontam.decontaminate(odd, bench)
+    assert kept.columns == odd.columns and {r["a.b"] for r in kept.collect()} == {"dot"}
+    assert kept.count() == len(docs) - 4  # the hit null id takes the other row of null id along
 
 
 def test_classifiers(spark):
