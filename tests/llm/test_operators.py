@@ -311,6 +311,56 @@ def test_licenses(spark):
     assert licenses.license_scan(table(spark, rows)).count() == len(rows)
 
 
+def test_licenses_against_brute_force(spark):
+    """Texts put together from pieces of templates, in and out of order, against plain diagonals."""
+    every = [*((x, p.split(), True) for p, x in licenses.PHRASES.items()), *((x, t.split(), False) for x, t in licenses.TEMPLATES)]
+    rng = random.Random(4)
+
+    def text():
+        out = []
+        for _ in range(rng.randrange(1, 6)):
+            w = rng.choice(every)[1]
+            a = rng.randrange(len(w)) if rng.random() < 0.4 else 0
+            piece = w[a : a + rng.choice([3, 8, 20, 200])]
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                if rng.random() < 0.5:
+                    piece = [*piece[: len(piece) // 2], "new", *piece[len(piece) // 2 :]]
+                else:
+                    piece = piece[: len(piece) // 3] + piece[len(piece) // 3 + 1 :]
+            if rng.random() < 0.15:
+                piece = piece[::-1]
+            out += piece * rng.choice([1, 1, 1, 2, 6]) + ["x", "y"] * rng.choice([0, 1, 30])
+        return " ".join(out)
+
+    def brute(t):
+        w, spans = (t or "").split(), []
+        for label, template, exact in every:
+            hits = [(i, j) for i in range(len(w) - 2) for j in range(len(template) - 2) if w[i : i + 3] == template[j : j + 3]]
+            need, group = len(template) - 2, {}
+            for d in sorted({i - j for i, j in hits}):
+                if exact or not group or d - last > licenses.DRIFT:
+                    first = d
+                group.setdefault(first, []).extend(h for h in hits if h[0] - h[1] == d)
+                last = d
+            for first, some in group.items():
+                some.sort()
+                forward = 1 + sum(b[1] > a[1] for a, b in zip(some, some[1:]))
+                found = min(forward, len({j for _, j in some}))
+                if some[-1][0] - some[0][0] + 1 > 2 * need:
+                    found = max(sum(i - j == d for i, j in some) for d in {i - j for i, j in some})
+                if found >= (need if exact else licenses.COVERAGE * need):
+                    spans.append((exact, label, max(first, 0), found / need))
+        base = [x for x in spans if x[0]]
+        at = [x[2] for x in base]
+        return len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x[1] for x in base})), ",".join(sorted({x[1] for x in spans})), max((x[3] for x in spans), default=0.0)
+
+    rows = [(i, text()) for i in range(300)] + [(300, None), (301, ""), (302, "cc by")]
+    got = licenses.license_scan(table(spark, rows)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == {i: brute(t) for i, t in rows} and len(got) == len(rows)
+    assert sum(r.labels != r.base_labels for r in got) > 30  # the voting adds labels of its own
+    assert licenses.license_scan(table(spark, [])).count() == 0
+
+
 def test_tokens(spark):
     import sentencepiece
 

@@ -1,10 +1,13 @@
 """License scans by diagonal voting.
 
-All k-grams of a text's words are joined with the positions of the same k-grams in license templates. A hit at word
-i of the text and word j of a template votes for the diagonal i - j; votes are summed by diagonal, neighbouring
-diagonals (where words were put in or left out) are merged into spans, and a span counts when enough different
-k-grams of the template stand in it. A phrase to be found exactly is a template whose every k-gram must vote on one
-diagonal. The join is on the k-gram's hash and on its words, so no hash stands unverified. DataFrame functions only.
+All rolling k-gram hashes of a text's words are joined with the positions of the same k-grams in license templates,
+a broadcast table of fixed size. A hit at word i of the text and word j of a template votes for the diagonal i - j;
+votes are summed by diagonal, neighbouring diagonals (where words were put in or left out) are merged into spans,
+and a span is verified on its order and its extent: it counts the different k-grams of the template that stand in it
+in the template's order, and where it reaches further than twice the template, only those of its best diagonal. A
+phrase to be found exactly is a template whose every k-gram must vote on one diagonal. K-grams meet by 64-bit
+hashes: with some 300 of them in the templates, no false hit is likely in 10^13 words. DataFrame functions only;
+texts are read once.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import ascii_lower
+from webloom.llm.common import Scratch, ascii_lower, quoted
 
 #: Words: letters and digits of ASCII, and all beyond ASCII.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,42 +45,52 @@ def words_of(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, templates: tuple[tuple[str, str, bool], ...], k: int = K) -> DataFrame:
-    """(gram, template, at, need, exact, label): one row for each k-gram of each (label, text, exact)."""
+    """(h, template, at, need, exact, label): one row for each k-gram of each (label, text, exact)."""
     rows = []
     for number, (label, text, exact) in enumerate(templates):
         w = text.split()
         rows += [f"('{' '.join(w[i : i + k])}', {number}, {i}, {len(w) - k + 1}, {str(exact).lower()}, '{label}')" for i in range(len(w) - k + 1)]
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(gram, template, at, need, exact, label)")
+    grams = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(gram, template, at, need, exact, label)")
+    return grams.select(F.xxhash64(*(F.split("gram", " ")[j] for j in range(k))).alias("h"), "template", "at", "need", "exact", "label")
 
 
-def spans(df: DataFrame, doc: Column, words: Column, templates: tuple[tuple[str, str, bool], ...], k: int = K, drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:
-    """(doc, label, exact, start, votes, need): each place of each template.
+def votes(df: DataFrame, words: Column, templates: tuple[tuple[str, str, bool], ...], k: int = K) -> DataFrame:
+    """Rows (id, tag, n_words) of ``df`` (id, tag, ...), one each with i = -1, and one more for each hit (i, template, ...).
 
-    ``start`` is the word at which the template's first word stands or would stand; 0 at least.
+    One flow, so that a text's words are made once: the row itself travels as a gram that no template has.
     """
-    table = template_grams(df.sparkSession, templates, k)
-    # Fixed templates: a few hundred hashes, whatever the input. Hits are picked inside the row, so that only they
-    # are exploded and joined; the join on the words themselves makes them exact.
-    known = [r[0] for r in table.select(F.xxhash64(*(F.split("gram", " ")[j] for j in range(k)))).distinct().collect()]
     n = F.size(words)
-    rolling = F.transform(F.slice(words, 1, F.greatest(n - (k - 1), F.lit(0))), lambda w, i: F.struct(i.alias("i"), F.xxhash64(w, *(F.get(words, i + j) for j in range(1, k))).alias("h")))
-    hits = (
-        df.select(doc.alias("doc"), F.explode(F.transform(F.filter(rolling, lambda x: x["h"].isin(known)), lambda x: F.struct(x["i"].alias("i"), F.array_join(F.slice(words, x["i"] + 1, k), " ").alias("gram")))).alias("x"))
-        .select("doc", "x.i", "x.gram")
-        .join(F.broadcast(table), "gram")
-        .select("doc", "template", "label", "exact", "need", "i", "at", (F.col("i") - F.col("at")).alias("diagonal"))
-    )
-    votes = hits.groupBy("doc", "template", "label", "exact", "need", "diagonal").agg(F.collect_set("at").alias("ats"))
-    # Of one document and template: diagonals in order, a new span where two lie more than ``drift`` apart; each
-    # diagonal of an exact phrase is a span of its own. A span is verified on the different k-grams of the template
-    # that it holds: one that is repeated counts once. One flow serves both kinds, so that texts are read once.
+    none = F.lit(None).cast("long")
+    itself = F.array(F.struct(F.lit(-1).alias("i"), none.alias("h"), n.alias("n")))
+    rolling = F.transform(F.slice(words, 1, F.greatest(n - (k - 1), F.lit(0))), lambda w, i: F.struct(i.alias("i"), F.xxhash64(w, *(F.get(words, i + j) for j in range(1, k))).alias("h"), F.lit(None).cast("int").alias("n")))
+    each = df.select("id", "tag", F.inline(F.concat(itself, rolling)))
+    table = template_grams(df.sparkSession, templates, k)
+    return each.join(F.broadcast(table), "h", "left").where("i = -1 OR template IS NOT NULL").select("id", "tag", F.col("n").cast("long").alias("n_words"), "i", "template", "at", "need", "exact", "label")
+
+
+def spans(hits: DataFrame, drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:
+    """(doc, label, exact, start, votes, need): each verified place of each template.
+
+    ``start`` is the word at which the template's first word stands or would stand; 0 at least.
+    """
+    of = ("doc", "template", "label", "exact", "need")
+    diagonals = hits.groupBy(*of, (F.col("i") - F.col("at")).alias("diagonal")).agg(F.collect_set(F.struct("i", "at")).alias("hits"))
+    # Diagonals in order, a new span where two lie more than ``drift`` apart; each diagonal of an exact phrase is a
+    # span of its own.
     order = Window.partitionBy("doc", "template").orderBy("diagonal")
     apart = F.when(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(order) > drift), 1).otherwise(0)
-    return (
-        votes.withColumn("apart", apart)
+    merged = (
+        diagonals.withColumn("apart", apart)
         .withColumn("span", F.sum("apart").over(order))
-        .select("doc", "template", "label", "exact", "need", "span", "diagonal", F.explode("ats").alias("at"))
-        .groupBy("doc", "template", "label", "exact", "need", "span").agg(F.min("diagonal").alias("diagonal"), F.count_distinct("at").alias("votes"))
+        .groupBy(*of, "span").agg(F.min("diagonal").alias("diagonal"), F.max(F.size("hits")).alias("best"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    )
+    x = F.col("hits")
+    extent = F.element_at(x, -1)["i"] - x[0]["i"] + 1
+    # In order: the steps from hit to hit that go forward in the template, and the first; repeats count once.
+    forward = F.size(F.filter(F.transform(x, lambda y, j: (j > 0) & (y["at"] > F.get(x, j - 1)["at"])), lambda y: y)) + 1
+    found = F.when(extent <= 2 * F.col("need"), F.least(forward, F.size(F.array_distinct(F.transform(x, lambda y: y["at"]))))).otherwise(F.col("best"))
+    return (
+        merged.withColumn("votes", found)
         .where(F.col("votes") >= F.when(F.col("exact"), F.col("need")).otherwise(coverage * F.col("need")))
         .select("doc", "label", "exact", F.greatest(F.col("diagonal"), F.lit(0)).alias("start"), "votes", "need")
     )
@@ -89,14 +102,15 @@ def license_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", phra
     n_base counts the places of the exact phrases, first_word and last_word are the least and greatest word at
     which one starts (null where none does); base_labels are their labels, labels those of any span; score is the
     largest share of a template found, 1 for an exact phrase, 0 for none. Null and empty texts have no words.
-    Rows that repeat an id and a text get the same result each; a null id is an id like any other.
+    Rows that repeat an id and a text get the same result each; a null id is an id like any other. An empty table
+    gives an empty one. The result reads a table of the shared scratch folder.
     """
     every = (*((label, p, True) for p, label in phrases.items()), *((label, t, False) for label, t in templates))
-    own = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = df.select(F.col(quoted(doc_id)).alias("id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     own = own.select("id", F.xxhash64("text").alias("tag"), words_of(F.col("text")).alias("words"))
+    met = Scratch(df.sparkSession, "licenses").save(votes(own, F.col("words"), tuple(every)), "votes")
     found = (
-        spans(own, F.struct("id", "tag"), F.col("words"), tuple(every))
-        .distinct()
+        spans(met.where("i >= 0").withColumn("doc", F.struct("id", "tag")))
         .groupBy("doc").agg(
             F.count_if("exact").alias("n_base"),
             F.min(F.when(F.col("exact"), F.col("start"))).cast("long").alias("first_word"),
@@ -107,7 +121,8 @@ def license_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", phra
         )
         .select(F.col("doc.id").alias("found_id"), F.col("doc.tag").alias("found_tag"), "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     )
-    return own.select("id", "tag", F.size("words").cast("long").alias("n_words")).join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left").select(
+    rows = met.where("i = -1").select("id", "tag", "n_words")
+    return rows.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left").select(
         F.col("id").alias(doc_id), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

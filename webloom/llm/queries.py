@@ -147,6 +147,32 @@ FROM j GROUP BY doc_id
 """
 
 
+_GRAMS = ", ".join(f"({n}, '{label}', '{text}', {str(exact).lower()})" for n, (label, text, exact) in enumerate((*((x, p, True) for p, x in licenses.PHRASES.items()), *((x, t, False) for x, t in licenses.TEMPLATES))))
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT template, label, string_split(text, ' ') AS w, exact FROM (VALUES {_GRAMS}) AS v(template, label, text, exact)),
+tg AS (SELECT template, label, exact, len(w) - 2 AS need, j, w[j + 1:j + 3] AS g FROM (SELECT *, unnest(range(len(w) - 2)) AS j FROM t)),
+dg AS (SELECT doc_id, i, w[i + 1:i + 3] AS g FROM (SELECT *, unnest(range(len(w) - 2)) AS i FROM d WHERE len(w) > 2)),
+hits AS (SELECT doc_id, template, label, exact, need, i, j, i - j AS diagonal FROM dg JOIN tg USING (g)),
+gaps AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.DRIFT} THEN 1 ELSE 0 END AS apart
+  FROM (SELECT doc_id, template, exact, diagonal, count(*) AS n FROM hits GROUP BY ALL)),
+diagonals AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM gaps),
+steps AS (SELECT hits.*, n, span, j > lag(j) OVER (PARTITION BY hits.doc_id, hits.template, span ORDER BY i, j) AS forward
+  FROM hits JOIN diagonals USING (doc_id, template, diagonal)),
+spans AS (SELECT doc_id, template, label, exact, need, span, greatest(min(diagonal), 0) AS start,
+  CASE WHEN max(i) - min(i) + 1 <= 2 * need THEN least(count(*) FILTER (forward) + 1, count(DISTINCT j)) ELSE max(n) END AS votes
+  FROM steps GROUP BY doc_id, template, label, exact, need, span),
+s AS (SELECT * FROM spans WHERE votes >= CASE WHEN exact THEN need ELSE {licenses.COVERAGE} * need END),
+f AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(votes::DOUBLE / need) AS score
+  FROM s GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN f ON d.doc_id = f.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express; the others are tested against brute force."""
-    return {"op1_quality_rules": OP1_SQL, "op4_chat_format": OP4_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_chat_format": OP4_SQL, "op7_line_dedup": OP7_SQL, "op9_license_scan": OP9_SQL}
