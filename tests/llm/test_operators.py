@@ -293,6 +293,23 @@ def test_lines(spark):
     assert by[1] == [("own", 2, 1)] and by[2] == [("b", 3, 2)] and by[3] == [(f"c\n{long}", 2, 0)] and by[None] == [("", 1, 1)]
     assert by[4] == [("short\nshort", 2, 0)] and by[8] == [("z" * 25, 1, 0)] * 2 and by[9] == by[10] == [("", 1, 0)]
     assert lines.drop_shared_lines(table(spark, [])).count() == 0
+    odd = lines.drop_shared_lines(table(spark, rows).withColumn("a.b", F.lit("dot")).withColumn("_drop", F.lit("mine")).withColumn("pos", F.lit("mine")))
+    assert {(r["a.b"], r["_drop"], r.pos) for r in odd.collect()} == {("dot", "mine", "mine")}
+
+
+@pytest.mark.parametrize("hot", [1, 4, 10_000])
+def test_lines_of_hot_hashes(spark, monkeypatch, hot):
+    """Whatever share of the hashes is broadcast, the rest is found by the shuffle."""
+    monkeypatch.setattr(lines, "HOT", hot)
+    rng = random.Random(6)
+    common = [f"line number {i} that documents share" for i in range(12)]
+    rows = [(i, "\n".join([common[0], *(rng.choice(common) + " " * rng.randrange(2) for _ in range(rng.randrange(6))), f"own line of document {i} alone"])) for i in range(60)]
+    docs = {}
+    for i, t in rows:
+        for line in t.split("\n"):
+            docs.setdefault(line.strip(), set()).add(i)
+    want = {i: "\n".join(x for x in t.split("\n") if len(docs[x.strip()]) < 3 or max(docs[x.strip()]) == i) for i, t in rows}
+    assert {r.doc_id: r.text for r in lines.drop_shared_lines(table(spark, rows)).collect()} == want
 
 
 def test_licenses(spark):
