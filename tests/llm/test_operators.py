@@ -42,33 +42,43 @@ def test_rules(spark):
         return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(full) - len(set(full)), len(covered)
 
     rows = [*AWKWARD, (11, "a b a b a b\na b\nx\n a b\n\n"), (12, "a|b & <c> #"), (13, "p q r x p q r y p q r")]
-    got = quality_rules.quality_cascade(table(spark, rows), metrics=True).select("text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "rejected_by", "id").collect()
+    got = quality_rules.quality_cascade(table(spark, rows), report=quality_rules.BASE).select("text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept", "id").collect()
     assert len(got) == len(rows)
     for r in got:
         assert tuple(r[1:6]) == brute(r.text) and r.id == "keep"
-        assert (r.rejected_by is not None) or r.n_words >= 50
+        assert not r.kept or r.n_words >= 50
+    full = {r.doc_id: r for r in quality_rules.measured(table(spark, [(1, "x 1 2\n- a...\n  \u2022 b\n12 \u00e9 ...\nx"), (2, None)])).collect()}
+    assert [full[1][m] for m in quality_rules.LATER] == [4, 10, 2, 2, 5] and all(full[2][m] == (1 if m == "n_lines" else 0) for m in quality_rules.METRICS)
+
+
+def test_rules_short_circuit(spark):
+    rng = random.Random(11)
+    plain = lambda n: ["".join(rng.choices("abcdefghij", k=7)) for _ in range(n)]
+    rows = [(1, " ".join(plain(90))), (2, "a b c " * 40), (3, " ".join(plain(60)) + " 12345" * 90), (4, "\n".join(f"- {x}" for x in plain(60))), (5, "\n".join(f"{x} ..." for x in plain(60))), (6, None), (7, " ".join(x for w in plain(40) for x in (w, "5%", "..", "!")))]
+    docs = table(spark, rows * 3).withColumn("n_words", F.lit("mine")).withColumn("left", F.lit("mine")).withColumn("a.b", F.lit("dot"))
     rules = quality_rules.default_rules()
     some = quality_rules.measured(table(spark, rows))
-    assert some.where(quality_rules.verdict(rules).isNull() != quality_rules.verdict(rules[::-1]).isNull()).count() == 0
-    # Rule by rule, the verdict to keep is the same, and a column named as a metric stays as it was.
-    some = table(spark, rows + [(14, " ".join(f"w{i}" for i in range(80))), (15, "a b c " * 40)]).withColumn("n_words", F.lit("mine"))
-    lazy = quality_rules.quality_cascade(some)
-    assert lazy.columns == [*some.columns, "rejected_by"]
-    full = quality_rules.quality_cascade(some, metrics=True).select("doc_id", "text", F.col("rejected_by").isNull().alias("keep")).collect()
-    brief = lazy.collect()
-    key = lambda r: (str(r[0]), str(r[1]), r[2])
-    assert sorted(map(key, full)) == sorted(key((r.doc_id, r.text, r.rejected_by is None)) for r in brief) and all(r.n_words == "mine" for r in brief)
-    assert [r.doc_id for r in brief if r.rejected_by is None] == [14]
-    assert quality_rules.quality_cascade(table(spark, [])).count() == quality_rules.quality_cascade(table(spark, []), metrics=True).count() == 0
-
-
-def test_tiles():
-    doc = words.hashed_words([b"x a b c d e f y z g h i j k l m q"], words.SIGNS)[0]
-    item = words.hashed_words([b"g h i j k l m a b c d e f"], words.SIGNS)[0]
-    assert sorted(decontam.tiles(doc, item, 5)) == [(1, 7, 6), (9, 0, 7)]
-    assert decontam.tiles(doc, item, 8) == []
-    same = words.hashed_words([b"a " * 50], words.SIGNS)[0]
-    assert sum(n for *_, n in decontam.tiles(same, same[:20], 5)) == 20
+    want = {r.doc_id: not r.no for r in some.select("doc_id", F.greatest(*(r.rejects for r in rules)).alias("no")).collect()}
+    assert [i for i, ok in want.items() if ok] == [1]
+    for order in (None, rules, rules[::-1]):
+        for report in ((), quality_rules.BASE, ("n_words",)):
+            got = quality_rules.quality_cascade(docs, order, report=report)
+            assert got.columns == [x for x in docs.columns if x not in report] + [*(m for m in quality_rules.METRICS if m in report), "kept"]
+            got = got.collect()
+            assert len(got) == 21 and all(r.kept == want[r.doc_id] and r.left == "mine" and r["a.b"] == "dot" for r in got)
+    # What later rules read is left unmeasured for the documents that an earlier one has rejected.
+    for r in quality_rules.quality_cascade(table(spark, rows), report=quality_rules.BASE, trace=True).collect():
+        later = [r[m] for m in quality_rules.LATER]
+        assert None not in later if r.kept else None in later or sum(x is not None for x in later) == 5
+        if r.doc_id in (2, 6):  # rejected by the reported metrics
+            assert later == [None] * 5 and r.n_words is not None
+    # A rule that would fail on a rejected document's text is never reached.
+    bad = quality_rules.Rule("raises", F.when(F.col("n_distinct") >= 0, F.raise_error(F.lit("read"))).cast("boolean"), ("n_distinct",))
+    few = quality_rules.Rule("few", F.col("n_words") < 50, ("n_words",))
+    with pytest.raises(Exception, match="read"):
+        quality_rules.quality_cascade(table(spark, [(1, "a b")]), [bad]).collect()
+    assert quality_rules.quality_cascade(table(spark, []), report=("n_words",)).count() == quality_rules.quality_cascade(table(spark, [])).count() == 0
+    assert [r.kept for r in quality_rules.quality_cascade(table(spark, [(1, "a b")]), [few], report=("n_words",)).collect()] == [False]
 
 
 def textbook_tiles(doc, item, seed):

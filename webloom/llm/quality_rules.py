@@ -3,8 +3,8 @@
 Each rule is a SQL condition that rejects a document. Its cost (seconds a row) and its selectivity (share of rows
 that it rejects) are estimated on a sample; the rules are then ordered by rejection per cost and evaluated one
 by one: what a rule reads is computed only for documents that no earlier rule has rejected. The order changes what
-is computed, never the verdict. A caller that wants the metrics of all documents gets them, and then nothing can be
-skipped. DataFrame functions only.
+is computed, never the verdict. Metrics that a caller wants of all documents are computed for all, and rules that
+read these alone are free. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import SPACE, fresh
+from webloom.llm.common import SPACE, fresh, quoted
 
 #: Rows on which costs and selectivities are estimated; they decide the order of the rules, not the verdict.
 SAMPLE_ROWS = 500
 SYMBOLS = "#*$%&|<>"
-METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+#: What the base rules read, and what later rules read, each only for documents that no rule before has rejected.
+BASE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+LATER = ("n_digits", "n_distinct", "n_cut_lines", "n_bullet_lines", "n_no_letter")
+METRICS = BASE + LATER
 
 
 @dataclass(frozen=True)
@@ -45,21 +48,33 @@ def windows(words: Column) -> Column:
 
 
 def measured(df: DataFrame, text: str = "text", metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """``df`` with those of n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long) in ``metrics``."""
+    """``df`` with the ``metrics`` (long) of ``text``; null counts as empty.
+
+    n_lines: lines, the empty ones too. n_dup_lines: lines with a word that equal an earlier one. n_repeat_words:
+    words inside 3-word windows that the text has twice or more. n_digits: 0-9. n_distinct: different words.
+    n_cut_lines, n_bullet_lines: lines that end in ..., and that start with a bullet. n_no_letter: words without
+    any of a-z, A-Z and characters beyond ASCII.
+    """
     c = fresh(df, "text", "words", "windows", "hits")
     spaces = F.lit(SPACE)
-    t = F.col(c["text"])
-    out = df.withColumn(c["text"], F.coalesce(F.col(text), F.lit("")))
+    t, words = F.col(c["text"]), F.col(c["words"])
+    out = df.withColumn(c["text"], F.coalesce(F.col(quoted(text)), F.lit("")))
     out = out.withColumn(c["words"], words_of(t))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, spaces) != "")
-    bare = F.translate(t, SPACE, "")
+    each = F.split(t, "\n", -1)
+    lines = F.filter(each, lambda x: F.btrim(x, spaces) != "")
+    without = lambda signs: F.length(t) - F.length(F.translate(t, signs, ""))
     out = out.withColumns({
-        "n_words": F.size(c["words"]).cast("long"),
-        "word_chars": F.length(bare).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_lines": F.size(F.split(t, "\n", -1)).cast("long"),
-        "n_dup_lines": F.when(F.contains(t, F.lit("\n")), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")).otherwise(F.lit(0).cast("long")),
-        c["windows"]: F.sort_array(windows(F.col(c["words"]))),
+        "n_words": F.size(words),
+        "word_chars": F.length(F.translate(t, SPACE, "")),
+        "n_symbols": without(SYMBOLS),
+        "n_lines": F.size(each),
+        "n_dup_lines": F.when(F.contains(t, F.lit("\n")), F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0),
+        "n_digits": without("0123456789"),
+        "n_distinct": F.size(F.array_distinct(words)),
+        "n_cut_lines": F.size(F.filter(each, lambda x: F.btrim(x, spaces).endswith("..."))),
+        "n_bullet_lines": F.size(F.filter(each, lambda x: F.ltrim(x, spaces).rlike("^[-*\u2022]"))),
+        "n_no_letter": F.size(F.filter(words, lambda x: ~x.rlike("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]"))),
+        c["windows"]: F.sort_array(windows(words)),
     })
     # n_repeat_words: words inside windows that the text has twice or more, the first time included. Sorted by
     # hash, equal windows meet; each that equals a neighbour covers three positions from its own on.
@@ -68,14 +83,15 @@ def measured(df: DataFrame, text: str = "text", metrics: tuple[str, ...] = METRI
     out = out.withColumn(c["hits"], F.transform(hits, lambda x: x["i"]))
     h = F.col(c["hits"])
     covered = F.size(F.array_distinct(F.concat(h, F.transform(h, lambda i: i + 1), F.transform(h, lambda i: i + 2))))
-    out = out.withColumn("n_repeat_words", F.when(F.size(h) > 0, covered).otherwise(0).cast("long"))
+    out = out.withColumn("n_repeat_words", F.when(F.size(h) > 0, covered).otherwise(0))
     # A generator between metrics and what uses them: the optimizer would else copy their expressions into each
     # filter on a verdict, nested as they are, and take forever.
-    return out.select(*(x for x in df.columns if x not in METRICS), F.inline(F.array(F.struct(*metrics))))
+    return out.select(*(F.col(quoted(x)) for x in df.columns if x not in METRICS), F.inline(F.array(F.struct(*(F.col(m).cast("long").alias(m) for m in metrics)))))
 
 
-#: The production rules. Base: too few words, and too many words in repeated windows. The others reject markup
-#: debris, repeated lines and words of no natural length.
+#: The production rules. Base: too few words, and too many words in repeated windows; and, by the same metrics, markup
+#: debris, repeated lines and words of no natural length. Later: digits, few different words, cut and bullet lines,
+#: words without letters.
 def default_rules() -> list[Rule]:
     n = F.col("n_words")
     return [
@@ -84,19 +100,24 @@ def default_rules() -> list[Rule]:
         Rule("symbols", 10 * F.col("n_symbols") > 3 * n, ("n_words", "n_symbols")),
         Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), ("n_lines", "n_dup_lines")),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n), ("n_words", "word_chars")),
+        Rule("digits", 100 * F.col("n_digits") > 30 * F.col("word_chars"), ("word_chars", "n_digits")),
+        Rule("few_distinct", 20 * F.col("n_distinct") < n, ("n_words", "n_distinct")),
+        Rule("cut_lines", 10 * F.col("n_cut_lines") > 3 * F.col("n_lines"), ("n_lines", "n_cut_lines")),
+        Rule("bullet_lines", 10 * F.col("n_bullet_lines") > 9 * F.col("n_lines"), ("n_lines", "n_bullet_lines")),
+        Rule("no_letters", 10 * F.col("n_no_letter") > 5 * n, ("n_words", "n_no_letter")),
     ]
 
 
 def ordered(df: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost, both estimated on up to ``sample_rows`` rows of ``df``."""
-    sample = df.select(F.col(text)).limit(sample_rows).persist()
+    sample = df.select(F.col(quoted(text)).alias("text")).limit(sample_rows).persist()
     try:
         sample.count()
 
         def seconds(rule: Rule | None) -> tuple[float, float]:
             """The time of one pass over the sample and the share rejected; without a rule, that of the pass alone."""
             began = time.perf_counter()
-            probe = measured(sample, text, rule.needs).agg(F.avg(rule.rejects.cast("double"))) if rule else sample.agg(F.avg(F.octet_length(text)))
+            probe = measured(sample, "text", rule.needs).agg(F.avg(rule.rejects.cast("double"))) if rule else sample.agg(F.avg(F.octet_length("text")))
             share = probe.first()[0]
             return time.perf_counter() - began, share or 0.0
 
@@ -111,30 +132,36 @@ def ordered(df: DataFrame, rules: list[Rule], text: str = "text", sample_rows: i
         sample.unpersist()
 
 
-def verdict(rules: list[Rule]) -> Column:
-    """The name of the first rule, in the order given, that rejects the row; null where none does."""
-    out = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        out = F.when(rule.rejects, F.lit(rule.name)).otherwise(out)
-    return out
-
-
-def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, text: str = "text", into: str = "rejected_by", sample_rows: int = SAMPLE_ROWS, metrics: bool = False) -> DataFrame:
-    """``df`` with ``into``: the rule that rejects a document, null for documents to keep.
+def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, text: str = "text", into: str = "kept", report: tuple[str, ...] = (), trace: bool = False, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``df`` with ``into``: whether a document passes all rules.
 
-    With ``metrics`` all documents get all metrics too, and columns named as a metric are replaced; without, a rule's
-    metrics are computed for the documents that the rules before it have passed, and not returned. Null and empty
-    texts have no words and fall to the word count. Rows are judged one by one: repeated rows get the same verdict,
-    an empty table gives an empty one.
+    ``report`` names metrics that all documents are to get; rules that read no others cost nothing more and come
+    first. The other rules follow by rejection per cost, each measured only for documents that all rules before it
+    have passed. With ``trace`` what they measured is returned too, null where it was not: which of a rejected
+    document's are null hangs on the order, hence on the sample and the clock; ``into`` and the report never do.
+    Columns of ``df`` that are named as an output are replaced. Null and empty texts have no words and fall to the
+    word count. Rows are judged one by one: repeated rows get the same verdict, an empty table gives an empty one.
     """
-    rules = ordered(df, rules if rules is not None else default_rules(), text, sample_rows)
-    if metrics:
-        return measured(df, text).withColumn(into, verdict(rules))
-    # Columns of the input that are named as a metric are put aside meanwhile.
-    c = fresh(df, "own", "by", "left")
-    out = df.select(F.struct(*(F.col(f"`{x}`") for x in df.columns)).alias(c["own"]), F.col(text).alias(c["left"]), F.lit(None).cast("string").alias(c["by"]))
-    for rule in rules:
-        # A rejected document has no text left to measure.
-        out = out.withColumn(c["left"], F.when(F.col(c["by"]).isNull(), F.col(c["left"])))
-        out = measured(out, c["left"], rule.needs).withColumn(c["by"], F.when(F.col(c["by"]).isNull() & rule.rejects, F.lit(rule.name)).otherwise(F.col(c["by"]))).select(*c.values())
-    return out.select(*(F.col(c["own"])[x].alias(x) for x in df.columns if x != into), F.col(c["by"]).alias(into))
+    rules = rules if rules is not None else default_rules()
+    free = [r for r in rules if set(r.needs) <= set(report)]
+    costly = [r for r in rules if r not in free]
+    costly = ordered(df, costly, text, sample_rows) if len(costly) > 1 else costly
+    passes = lambda rs: F.coalesce(~F.greatest(*(r.rejects for r in rs), F.lit(False)), F.lit(True)) if rs else F.lit(True)
+    known = [m for m in METRICS if m in report]
+    traced = [m for m in METRICS if m not in report and any(m in r.needs for r in costly)] if trace else []
+    # The input's columns are put aside meanwhile, so that no name clashes; "left" is the text still to be judged.
+    outside = F.struct(*(F.col(quoted(x)).alias(f"c{i}") for i, x in enumerate(df.columns)))
+    out = df.select(outside.alias("row"), F.col(quoted(text)).alias("left"))
+    out = measured(out, "left", tuple(known)) if known else out
+    out = out.select("row", "left", *known, passes(free).alias("ok"), *(F.lit(None).cast("long").alias(f"t_{m}") for m in traced))
+    for rule in costly:
+        own = tuple(m for m in rule.needs if m not in known)
+        out = out.withColumn("left", F.when(F.col("ok"), F.col("left"))).withColumnsRenamed({m: f"k_{m}" for m in known})
+        out = measured(out, "left", own).withColumnsRenamed({f"k_{m}": m for m in known})
+        was = F.col("ok")
+        out = out.select(
+            "row", "left", *known, (was & passes([rule])).alias("ok"),
+            *((F.when(was, F.col(m)).otherwise(F.col(f"t_{m}")) if m in own else F.col(f"t_{m}")).alias(f"t_{m}") for m in traced),
+        )
+    new = {**{m: F.col(m) for m in known}, **{m: F.col(f"t_{m}") for m in traced}, into: F.col("ok")}
+    return out.select(*(F.col("row")[f"c{i}"].alias(x) for i, x in enumerate(df.columns) if x not in new), *(v.alias(k) for k, v in new.items()))

@@ -24,11 +24,12 @@ def hexdigest(text: Column) -> Column:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.quality_cascade(read(spark, sf_dir, "documents", "doc_id", "text"), metrics=True)
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    judged = quality_rules.quality_cascade(docs, report=quality_rules.BASE)
     n = F.col("n_words")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        ((n < 50) | (100 * F.col("n_repeat_words") > 50 * n)).alias("base_failed"), F.col("rejected_by").isNull().alias("kept"),
+        ((n < 50) | (100 * F.col("n_repeat_words") > 50 * n)).alias("base_failed"), "kept",
     )
 
 
@@ -113,10 +114,13 @@ m AS (
   SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(l) AS n_lines,
     (len(list_filter(l, lambda x: trim(x, {_SP}) <> '')) - len(list_distinct(list_filter(l, lambda x: trim(x, {_SP}) <> ''))))::BIGINT AS n_dup_lines,
-    coalesce(c.n, 0)::BIGINT AS n_repeat_words
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits, len(list_distinct(w)) AS n_distinct,
+    len(list_filter(l, lambda x: ends_with(trim(x, {_SP}), '...'))) AS n_cut_lines, len(list_filter(l, lambda x: regexp_matches(ltrim(x, {_SP}), '^[-*\u2022]'))) AS n_bullet_lines,
+    len(list_filter(w, lambda x: NOT regexp_matches(x, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]'))) AS n_no_letter
   FROM w LEFT JOIN c ON w.doc_id = c.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR 100 * n_digits > 30 * word_chars OR 20 * n_distinct < n_words OR 10 * n_cut_lines > 3 * n_lines OR 10 * n_bullet_lines > 9 * n_lines OR 10 * n_no_letter > 5 * n_words) AS kept
 FROM m
 """
 
