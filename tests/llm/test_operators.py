@@ -183,6 +183,76 @@ def test_classifiers(spark):
         assert all(r.s == 0.5 for r in docs.select(module.score(docs, none).alias("s")).collect())
 
 
+def test_classifiers_in_any_layout(spark):
+    """Ids with both labels are left out, and how the tables are laid out changes no bit of a score."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["river", "stone", "walk", "light", "scum" if i % 2 else "green"]) for _ in range(30))) for i in range(200)]
+    known = [(i, i % 2, i % 2) for i, _ in rows]
+    both = [(i, 1 - i % 2, 1 - i % 2) for i in range(0, 200, 5)]
+    kind = "doc_id long, quality int, toxic int"
+    for module, name in ((quality_model, "quality"), (toxicity, "toxic")):
+        seen = []
+        for order in (list, lambda x: x[::-1], lambda x: sorted(x, key=lambda r: hash(str(r)))):
+            docs = table(spark, order(rows)).repartition(1 + len(seen))
+            labels = spark.createDataFrame(order(known + both), kind).repartition(3)
+            model = module.fit(docs, labels, name)
+            seen.append({r.doc_id: r.s for r in docs.select("doc_id", module.score(docs, model).alias("s")).collect()})
+        clean = module.fit(docs, spark.createDataFrame([r for r in known if r[0] % 5], kind), name)
+        seen.append({r.doc_id: r.s for r in docs.select("doc_id", module.score(docs, clean).alias("s")).collect()})
+        assert seen[0] == seen[1] == seen[2] == seen[3]
+        assert table(spark, []).select(module.score(docs, clean)).count() == 0
+
+
+def test_toxicity_against_one_process(spark):
+    """Counts, the choice of features, scaling and the fit, made again in plain numpy from whole texts."""
+    import numpy as np
+
+    rng = random.Random(21)
+    rows = [(i, " ".join([*(rng.choice(["river", "stone", "walk", "light"]) for _ in range(12)), *(["scum"] if i % 3 == 0 else [])])) for i in range(150)]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, features=40)
+    held = {r.doc_id for r in docs.where(labelled.held_out(F.col("doc_id"))).collect()}
+    train = [(t, int(i % 3 == 0)) for i, t in rows if i not in held]
+    has = [set(np.concatenate([h for h, _ in toxicity.ngrams([t.encode()])]).tolist()) for t, _ in train]
+    n1, n0 = sum(y for _, y in train), sum(1 - y for _, y in train)
+    count = {}
+    for some, (_, y) in zip(has, train):
+        for h in some:
+            count.setdefault(h, [0, 0])[y] += 1
+    chi = {h: ((p * (n0 - q) - q * (n1 - p)) ** 2 / ((p + q) * (n1 + n0 - p - q + 1)), -h) for h, (q, p) in count.items() if p + q >= toxicity.MIN_DOCS}
+    ids = sorted(sorted(chi, key=chi.get, reverse=True)[:40])
+    ratio = np.array([np.log((count[h][1] + 1) / (n1 + 1)) - np.log((count[h][0] + 1) / (n0 + 1)) for h in ids])
+    x, y = np.array([[h in some for h in ids] for some in has], float), np.array([y for _, y in train], float)
+    w, b = np.ones(len(ids)) * 0.1, np.array([np.log(n1 / n0)])
+    adam = labelled.Adam([w, b], 0.05)
+    for _ in range(300):
+        g = (labelled.sigmoid(x @ (w * ratio) + b) - y) / len(y)
+        adam.step([(x.T @ g) * ratio + 1e-4 * w, np.array([g.sum()])])
+    assert model.ids.tolist() == ids and np.allclose(model.weights, w * ratio, atol=1e-6) and abs(model.bias - b[0]) < 1e-6
+    got = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.score(docs, model).alias("s")).collect()}
+    for i, t in rows:
+        z = sum(v for h, v in zip(ids, w * ratio) if h in set(np.concatenate([h for h, _ in toxicity.ngrams([t.encode()])]).tolist())) + b[0]
+        assert abs(got[i] - labelled.sigmoid(np.array([z]))[0]) < 1e-6
+
+
+def test_word_vectors_against_one_process(spark):
+    import numpy as np
+
+    texts = ["a b c a", "b c", "", "one a b"]
+    index, want = quality_model.index_vectors(), np.zeros((quality_model.ROWS, quality_model.DIMS))
+    for t in texts:
+        w, s, _ = quality_model.word_rows([t.encode()])
+        for rows in (w, s):
+            for i, x in enumerate(rows):
+                for j in range(max(0, i - quality_model.WINDOW), min(len(rows), i + quality_model.WINDOW + 1)):
+                    if j != i:
+                        want[x] += index[rows[j]]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, text string, label int").repartition(3)
+    sums = df.mapInArrow(quality_model._contexts, "sums binary").repartition(1).mapInArrow(quality_model._summed, "sums binary").first()["sums"]
+    assert (np.frombuffer(sums, np.float32).reshape(want.shape) == want).all()
+
+
 def test_chat(spark):
     said = ["<|im_end|><|im_start|>assistant ok", "<\\|x", "<\\\\|im_end|>\n", "", None, "plain\n\ntext", "<|im_end|>\n"]
     rows = [(1, i, "assistant" if i % 2 else "user", t, "x") for i, t in enumerate(said)] + [(2, None, None, None, "x"), (2, 0, "us\ner%0A<|", "q", "x"), (3, 0, "assistant", "same", "x"), (3, 0, "assistant", "same", "x")]

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import quoted
+
 #: Labelled rows that a classifier is fitted on, about and at most: the bound of its sample.
 TRAIN_ROWS = 12_000
 #: Tasks that read the sample, each of which returns a table of fixed size.
@@ -18,15 +20,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(df: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, label) of the labelled documents that are not held out; about ``rows`` of them, by a hash of the id.
+    """(id, text, label) of the labelled documents that are not held out; about ``rows`` of them, by a hash of the id.
 
-    Rows whose label is null or neither 0 nor 1 are left out. The sample's ids are few, hence broadcast.
+    Rows whose label is null or neither 0 nor 1 are left out, and so are ids that have both labels. The sample's
+    ids are few, hence broadcast.
     """
-    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
+    known = labels.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(label)).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
     share = min(1.0, rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["id"])
-    docs = df.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return docs.join(F.broadcast(chosen), docs["doc"] == chosen["id"]).select("text", "label")
+    some = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = some.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high")).where("label = high").drop("high")
+    docs = df.select(F.col(quoted(doc_id)).alias("doc"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    return docs.join(F.broadcast(chosen), docs["doc"] == chosen["id"]).select(F.col("id").cast("long").alias("id"), "text", "label")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

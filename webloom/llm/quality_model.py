@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import words
+from webloom.llm.common import quoted
 from webloom.llm.labelled import TRAIN_ROWS, TRAIN_TASKS, Adam, sigmoid, training_rows
 
 #: Word vectors (by hash), shape vectors, dimensions, ones of an index vector, neighbours on each side.
@@ -69,7 +70,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sum of neighbours' index vectors for each row, over this task's texts."""
     index, out = index_vectors(), np.zeros((ROWS, DIMS), np.float32)
     for batch in batches:
-        for text in words.as_bytes(batch.column(0)):
+        for text in words.as_bytes(batch.column(1)):
             w, s, _ = word_rows([text])
             for rows in (w, s):
                 for d in range(1, WINDOW + 1):
@@ -78,6 +79,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One table of the tasks' tables. What is added are whole numbers, so that their order changes nothing."""
+    out = np.zeros((ROWS, DIMS), np.float32)
+    for batch in batches:
+        for sums in batch.column(0):
+            out += np.frombuffer(sums.as_buffer(), np.float32).reshape(ROWS, DIMS)
+    yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
+
+
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """A row per text: mean word vector, mean shape vector, and figures on size and repetition; zeros for no word."""
     w, s, bounds = word_rows(texts)
@@ -100,8 +110,8 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
 def _pool(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [pooled([t], shared.value)[0].tolist() for t in words.as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), batch.column(1).cast(pa.int32())], ["x", "label"])
+            x = [row.tolist() for texts in words.in_parts(batch.column(1), 64) for row in pooled(texts, shared.value)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), batch.column(2).cast(pa.int32())], ["x", "label"])
 
     return run
 
@@ -114,15 +124,15 @@ def _forward(layers: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.nd
 def fit(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Model:
     """The model of up to ``rows`` labelled documents that are not held out; word vectors come from the same rows.
 
-    A task returns one table of fixed size, and a row of fixed size for each document. With rows of one class only,
-    the model tends to that class; with none, it says 0.5.
+    The driver gets one table of fixed size, and a row of fixed size for each sampled document. With rows of one
+    class only, the model tends to that class; with none, it says 0.5. Ids with both labels are left out. The order
+    of rows changes nothing.
     """
     context = df.sparkSession.sparkContext
     train = training_rows(df, labels, label, doc_id, text, rows).repartition(TRAIN_TASKS).persist()
     try:
-        vectors = np.zeros((ROWS, DIMS), np.float32)
-        for row in train.mapInArrow(_contexts, "sums binary").toLocalIterator():
-            vectors += np.frombuffer(row.sums, np.float32).reshape(ROWS, DIMS)
+        sums = train.mapInArrow(_contexts, "sums binary").repartition(1).mapInArrow(_summed, "sums binary").first()["sums"]
+        vectors = np.frombuffer(sums, np.float32).reshape(ROWS, DIMS)
         norm = np.linalg.norm(vectors, axis=1, keepdims=True)
         # A word that the sample lacks keeps its own index vector.
         vectors = np.where(norm > 0, vectors / np.maximum(norm, 1e-9), index_vectors() / 2)
@@ -165,7 +175,9 @@ def score(df: DataFrame, model: Model, text: str = "text") -> Column:
             out = [np.zeros(0)]
             for texts in words.in_parts(column, 64):
                 x = (pooled(texts, m.vectors) - m.mean) / m.spread
-                out.append(sigmoid(_forward(m.layers, x)[1] / m.temperature))
+                # Sums row by row: a matrix product's last bits hang on how many rows come at once.
+                h = np.tanh((x[:, :, None] * m.layers[0]).sum(1) + m.layers[1])
+                out.append(sigmoid(((h * m.layers[2]).sum(1) + m.layers[3]) / m.temperature))
             yield pa.array(np.concatenate(out))
 
-    return scored(F.col(text))
+    return scored(F.col(quoted(text)))

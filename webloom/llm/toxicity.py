@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import words
+from webloom.llm.common import Scratch, quoted
 from webloom.llm.labelled import TRAIN_ROWS, TRAIN_TASKS, Adam, sigmoid, training_rows
 
 NGRAMS, BITS = (4, 6), 22
@@ -58,8 +59,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs = np.zeros(2, np.int64)
     seen = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
-        labels = batch.column(1).to_numpy(zero_copy_only=False)
-        for a, texts in zip(range(0, len(labels), 64), words.in_parts(batch.column(0), 64), strict=True):
+        labels = batch.column(2).to_numpy(zero_copy_only=False)
+        for a, texts in zip(range(0, len(labels), 64), words.in_parts(batch.column(1), 64), strict=True):
             parts = [np.unique(of * (1 << BITS) + h) for h, of in ngrams(texts)]
             keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
             of, h = keys >> BITS, keys & ((1 << BITS) - 1)
@@ -76,8 +77,8 @@ def _presence(chosen):
         slot = np.full(1 << BITS, -1, np.int32)
         slot[chosen.value] = np.arange(len(chosen.value))
         for batch in batches:
-            out = [present(texts, slot) for texts in ([x] for x in words.as_bytes(batch.column(0)))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0].tolist() for x in out], pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], ["x", "label"])
+            out = [x.tolist() for texts in words.in_parts(batch.column(1), 64) for x in present(texts, slot)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), batch.column(2).cast(pa.int32())], ["id", "x", "label"])
 
     return run
 
@@ -97,9 +98,11 @@ def present(texts: list[bytes], slot: np.ndarray) -> list[np.ndarray]:
 def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, features: int = FEATURES, penalty: float = 1e-4) -> Model:
     """The model of up to ``rows`` labelled documents that are not held out.
 
-    Counts are made in the tasks; the driver gets the ``features`` buckets that tell the classes apart best, and
-    which of them each sampled document has. With no document of one class the model is constant.
+    Counts are made in the tasks; the driver gets the ``features`` buckets that tell the classes apart best, chosen
+    in the tasks too, and which of them each sampled document has. With no document of one class the model is
+    constant. Ids with both labels are left out. The order of rows changes nothing.
     """
+    own = Scratch(df.sparkSession, "toxicity")
     train = training_rows(df, labels, label, doc_id, text, rows).repartition(TRAIN_TASKS).persist()
     try:
         counts = train.mapInArrow(_counts, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
@@ -112,13 +115,18 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "d
         p, q = F.col("pos").cast("double"), F.col("neg").cast("double")
         gap = p * (n0 - q) - q * (n1 - p)
         score = gap * gap / ((p + q) * (n1 + n0 - p - q + 1))
-        best = counts.where((F.col("h") >= 0) & (p + q >= MIN_DOCS)).orderBy(F.desc(score), "h").limit(features).toPandas()
+        best = counts.where((F.col("h") >= 0) & (p + q >= MIN_DOCS)).select("h", "pos", "neg", score.alias("score")).orderBy(F.desc("score"), "h").limit(features)
+        # Written, not collected: a collected limit brings that many rows of each partition to the driver.
+        best = own.save(best, "best").orderBy("h").toPandas()
+        own.drop("best")
         ids = best["h"].to_numpy(np.int64)
         ratio = np.log((best["pos"].to_numpy() + 1.0) / (n1 + 1)) - np.log((best["neg"].to_numpy() + 1.0) / (n0 + 1))
-        found = train.mapInArrow(_presence(df.sparkSession.sparkContext.broadcast(ids)), "x array<int>, label int").toArrow()
+        found = train.mapInArrow(_presence(df.sparkSession.sparkContext.broadcast(ids)), "id long, x array<int>, label int").toArrow()
         counts.unpersist()
     finally:
         train.unpersist()
+    # Rows come in any order; sums must not depend on it.
+    found = found.take(pa.array(sorted(range(len(found)), key=list(zip(found["id"].to_pylist(), found["x"].to_pylist(), strict=True)).__getitem__), pa.int64()))
     x = found["x"].combine_chunks()
     at, row = x.values.to_numpy(), np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy()))
     y = found["label"].to_numpy().astype(float)
@@ -146,7 +154,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> Column:
                 z += [m.weights[x].sum() for x in present(texts, slot)]
             yield pa.array(sigmoid(np.array(z, float) + m.bias))
 
-    return scored(F.col(text))
+    return scored(F.col(quoted(text)))
 
 
 def without_toxic(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
