@@ -1,10 +1,13 @@
 """Edge cases of the crawl engine's expressions and operators."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from webloom.functions import figures, urls
-from webloom.operators import extract, frontier, monitor, network, routing, scheduler
+from webloom.functions.resolve import resolve
+from webloom.operators import crawl, extract, frontier, monitor, network, routing, scheduler
 from webloom.plans import registry
 from webloom.sources import sinks, tables
 from webloom.streaming import streams
@@ -52,6 +55,105 @@ def test_both_extractors(spark):
         assert [x.replace("https://h.com/", "/") if "#" not in x else x for x in slow[i]] == b
 
 
+def test_resolve():
+    base = "https://h.com/a/b?q=1#f"
+    cases = [
+        ("c", "https://h.com/a/c"), ("/r", "https://h.com/r"), ("../x", "https://h.com/x"), ("../../x", "https://h.com/x"), ("./", "https://h.com/a/"), ("..", "https://h.com/"), ("/a/../b/./c", "https://h.com/b/c"), ("a/..", "https://h.com/a/"),
+        ("", "https://h.com/a/b?q=1#f"), ("#t", "https://h.com/a/b?q=1#t"), ("?z", "https://h.com/a/b?z"), ("?", "https://h.com/a/b?"), ("//c.com/p", "https://c.com/p"), ("//c.com", "https://c.com"),
+        ("HTTP://X.com/P", "http://X.com/P"), ("http://x.com/a/../b", "http://x.com/b"), ("tel:1", "tel:1"), ("data:x,y?z#w", "data:x,y?z#w"),
+        ("/a b", "https://h.com/a%20b"), ("/für", "https://h.com/f%C3%BCr"), (" /lead ", "https://h.com/a/%20/lead%20"), ("/a%2Fb", "https://h.com/a%2Fb"), ("/a%2Fb c", "https://h.com/a/b%20c"), ("/x?a b", "https://h.com/x?a b"), ("/[x]", "https://h.com/[x]"),
+        ("1a:b", None), (":b", None), ("/%zz", None), ("/a#%zz", None), ("a:b/c", "a:b/c"), ("./1a:b", "https://h.com/a/1a:b"), ("/x:y", "https://h.com/x:y"), ("http://a b/", None), ("http://h:x/", None), ("http://h:80/", "http://h:80/"), ("http://u@h/", "http://u@h/"), ("/a\nb", None), ("///x", "https://h.com///x"),
+    ]
+    for href, want in cases[:-1]:
+        assert resolve(base, href) == want, href
+    assert resolve("https://h.com", "x") == "https://h.com/x" and resolve("https://h.com", "") == "https://h.com"
+
+
+def test_quarantine_and_outer_links(spark):
+    deep = "<b>" * (extract.NESTING + 5)
+    pages = spark.createDataFrame([(1, "https://h.com/?x", deep + '<a href="/a">', 5), (2, "https://h.com/?y", '<a href="/a"><a href="/b">', 5), (3, "https://h.com/z", "none", 5), (4, "https://h.com/z?", None, 0)], "page_id long, url string, html string, size long")
+    assert [tuple(r) for r in extract.quarantined(extract.analyzed(pages)).collect()] == [(1, "https://h.com/?x")]
+    got = sorted(map(tuple, extract.two_tier_links(pages, outer=True).select("page_id", "route", "pos", "link").collect()), key=str)
+    assert got == sorted([(1, "slow", None, None), (2, "slow", 0, "https://h.com/a"), (2, "slow", 1, "https://h.com/b"), (3, "fast", None, None), (4, "fast", None, None)], key=str)
+    assert extract.two_tier_links(pages).count() == 2
+
+
+def test_crawl(spark):
+    """Cycles, queries and fragments, a depth limit, and what is not crawlable."""
+    site = {"https://h.com/a": ["/B?x=1", "/b#f", "javascript:x", "//other.org/c"], "https://h.com/b": ["/a", "/d"], "https://other.org/c": ["/c/e", "/%zz"], "https://h.com/d": ["/f"], "https://h.com/f": ["/g"]}
+    rows = [(i, u, "".join(f'<a href="{x}">' for x in links), 9) for i, (u, links) in enumerate(site.items())]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, size long")
+    fetch = lambda level: level.select("url").join(pages, "url").select("page_id", "url", "html", "size")
+    seeds = spark.createDataFrame([("https://h.com/A?s",), ("nohost",)], "url string")
+    reach = lambda n: {r.url: r.depth for r in crawl.crawl(seeds, fetch, n).collect()}
+    assert reach(0) == {"https://h.com/a": 0}
+    assert reach(2) == {"https://h.com/a": 0, "https://h.com/b": 1, "https://other.org/c": 1, "https://h.com/d": 2, "https://other.org/c/e": 2}
+    assert reach(9) == reach(2) | {"https://h.com/f": 3, "https://h.com/g": 4}
+    assert crawl.crawl(seeds.limit(0), fetch, 3).count() == 0
+
+
+def test_queues(spark):
+    """Pulls and persistent tries against plain queues."""
+    n, queue, priority = 3, 12, 5
+    tasks = scheduler.numbered(spark.range(40).select(F.format_string("u%02d", "id").alias("url")), "url")
+    queues = scheduler.admitted(tasks, n, queue=queue, priority=priority)
+    rows = sorted(queues.collect(), key=lambda r: r.seq)
+    own = [[r.url for r in rows if r.queue == "iface" and r.iface == i] for i in range(n)]
+    first = [r.url for r in rows if r.queue == "priority"]
+    want, turn = {}, 0
+    while first or any(own):
+        for i in range(n):
+            q = first or own[i]
+            if q:
+                want[q.pop(0)] = (i, turn)
+        turn += 1
+    got = {r.url: (r.puller, r.turn) for r in scheduler.pulled(queues, n, queue=queue).collect()}
+    assert got == want and len(got) == 17
+    assert tuple(scheduler.queue_totals(queues, n, queue, priority).first()) == (17, 17)
+    over = queues.where("queue = 'overflow'").select("url", (F.col("seq") - 17).alias("rank"))
+    kept = {r.url: (r.attempt, r.queue, r.waited_ms) for r in scheduler.persistent(over, n, 2, 1, tries=4, backoff_ms=50).collect()}
+    waiting, want = [r.url for r in rows if r.queue == "overflow"], {}
+    waited = 0
+    for attempt in range(4):
+        waited += 50 * attempt
+        for place in ["priority"] * 2 + [f"iface {i}" for i in range(n)]:
+            if waiting:
+                want[waiting.pop(0)] = (attempt, place, waited)
+    assert kept == want | {u: (None, "dropped", waited) for u in waiting} and waiting
+    assert [r.wait_us for r in scheduler.rate_limited(tasks, 1000, 38).orderBy("seq").collect()][-3:] == [0, 1000, 2000]
+    names = spark.createDataFrame([(i, f"nic{i}") for i in range(4)], "iface int, name string")
+    assert {r.name for r in scheduler.with_interfaces(queues, names, "name").collect()} == {"nic0", "nic1", "nic2"}
+    report = {r.iface: (r.queued, r.capacity, r.percent) for r in monitor.interface_queues(names.withColumn("speed", F.lit("x")), queues, queue, n).collect()}
+    assert report == {0: (4, 4, 100.0), 1: (4, 4, 100.0), 2: (4, 4, 100.0), 3: (0, 4, 0.0)}
+
+
+def test_states_of_tasks(spark):
+    rows = [("a", d, s) for d, s in enumerate(["failed", "failed", "downloaded", "failed"])] + [("b", 0, "pending"), ("b", 1, "failed"), ("c", 0, "failed")]
+    states = spark.createDataFrame(rows, "url string, day int, state string")
+    assert {(r.url, r.day): r.enqueued for r in scheduler.rediscovered(states, "day").collect()} == {("a", 0): True, ("a", 1): True, ("a", 2): True, ("a", 3): False, ("b", 0): True, ("b", 1): False, ("c", 0): True}
+    assert {r.url: r.failures for r in monitor.failures(states, "url").collect()} == {"a": 3, "b": 1, "c": 1}
+
+
+def test_running_counters(spark):
+    made = scheduler.numbered(spark.range(257).select("id", (F.col("id") % 3 != 0).alias("ok")), "id")
+    want = [(n, n - len(range(0, n, 3)), len(range(0, n, 3))) for n in range(10, 258, 10)]
+    for coarse in (1, 4, 10_000):
+        assert sorted(map(tuple, monitor.every(made, 10, coarse=coarse).collect())) == want
+    assert [r.line for r in monitor.first_lines(made.withColumn("k", F.lit(1)), "k", "id", n=3).collect()] == [1, 2, 3]
+    ticks = spark.createDataFrame([(i, q, 100) for i, q in enumerate([10, 50, 70, 90, 10])], "t int, queued int, capacity int")
+    assert [r.workers for r in monitor.scale_ticks(ticks, "t").orderBy("t").collect()] == [100, 400, 800, 800, 800]
+
+
+def test_depth(spark):
+    assert column(spark, [("3",), ("12ab",), (" 7",), ("-1",), ("x",), ("",), (None,), ("99999999999",)], "d string", urls.depth(F.col("d"))) == [3, 12, 7, -1, 0, 0, 0, 0]
+
+
+def test_interface_source(spark):
+    rows = [("eth0", ["fe80::1", "10.0.0.5"], False, True, True), ("lo", ["127.0.0.1"], True, True, True), ("e1", [], False, True, True), ("e2", ["fe80::2"], False, True, False), ("e3", ["fe80::3"], False, False, False), ("virbr0", ["1.2.3.4"], False, True, True)]
+    got = tables.interfaces(spark.createDataFrame(rows, "name string, ips array<string>, is_loopback boolean, is_up boolean, is_running boolean"))
+    assert [(r.name, r.ip, r.is_active) for r in got.collect()] == [("eth0", "10.0.0.5", True), ("e2", "", False)]
+
+
 def test_documents_and_metadata(spark):
     html = "<title>A &amp; B</title><meta name='description' content='d'><nav></nav><p>See <a href='f.PDF'>the <b>file</b></a> of " + "ü" * 200 + "<p><a href='x.pdf?v=1'>q</a>"
     pages = spark.createDataFrame([(1, "https://h.com/a/b", html, len(html.encode())), (2, "https://h.com/", None, 0)], "page_id long, url string, html string, size long")
@@ -126,11 +228,33 @@ def test_stream_retries(spark, tmp_path):
     assert got == {("a", 4, "failed"), ("b", 1, "downloaded")}
 
 
-@pytest.mark.parametrize("name", ["two_tier_stats", "page_metadata", "queue_admission", "retry_attempts", "scale_decision", "stream_dedupe"])
+def test_streams_resume_and_late_data(spark, tmp_path):
+    """A second run goes on from the first one's state; data later than the delay are left out."""
+    place, folder = str(tmp_path / "run"), str(tmp_path / "in")
+    spark.createDataFrame([("a", False), ("a", False), ("b", True)], "url string, ok boolean").coalesce(1).write.mode("append").parquet(folder)
+    source = lambda: spark.readStream.schema("url string, ok boolean").parquet(folder)
+    assert {tuple(r) for r in streams.drained(streams.retry_states(source()), path=place).collect()} == {("b", 1, "downloaded")}
+    spark.createDataFrame([("a", False), ("a", False), ("a", True)], "url string, ok boolean").coalesce(1).write.mode("append").parquet(folder)
+    assert {tuple(r) for r in streams.drained(streams.retry_states(source()), path=place).collect()} == {("b", 1, "downloaded"), ("a", 4, "failed"), ("a", 1, "downloaded")}
+
+    folder = str(tmp_path / "late")
+    for day, hour in ((1, 1), (5, 1), (5, 1), (1, 2), (9, 1)):  # what is late is told by the batch before the last
+        spark.sql(f"SELECT timestamp'2024-01-0{day} 0{hour}:00:00' AS ts, true AS ok, 'k{day}' AS key").coalesce(1).write.mode("append").parquet(folder)
+    order = sorted((tmp_path / "late").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    for i, f in enumerate(order):  # a stream takes files by their time
+        os.utime(f, (1_700_000_000 + 10 * i,) * 2)
+    late = spark.readStream.schema("ts timestamp, ok boolean, key string").option("maxFilesPerTrigger", 1).parquet(folder)
+    counts = {r.start.day: r.attempts for r in streams.drained(streams.window_counts(late)).collect()}
+    assert counts[1] == 1 and counts[5] == 2  # the second sighting of day 1 comes after day 5 and is late
+    assert sorted(r.key for r in streams.drained(streams.first_sightings_within(late, "ts", "1 hour", "key")).collect()) == ["k1", "k5", "k9"]
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
     for t in ("pages", "events", "customer"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = registry.QUERIES[name](spark, SF)

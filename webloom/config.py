@@ -19,6 +19,10 @@ class CrawlConfig:
     clients: int = 64
     retries: int = 3
     backoff_ms: int = 300
+    enqueue_tries: int = 50
+    enqueue_backoff_ms: int = 50
+    rate: int = 100_000
+    burst: int = 2_400
 
 
 DEFAULT = CrawlConfig()

@@ -49,16 +49,16 @@ def make_absolute(raw: Column, base: Column) -> Column:
     )
 
 
+def depth(text: Column) -> Column:
+    """A depth carried as text: the whole number that it starts with, 0 without one."""
+    return F.coalesce(F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
+
+
 def fast_link_kept(raw: Column) -> Column:
     """Not empty, no fragment, script or mail link; case counts."""
     return (raw != "") & ~raw.rlike("^(#|javascript:|mailto:)")
 
 
-def slow_link_kept(href: Column) -> Column:
-    """Neither empty nor exactly '#', nor a script or mail link."""
-    return (href != "") & (href != "#") & ~href.rlike("^(javascript:|mailto:)")
-
-
 def extension(url: Column) -> Column:
     """'.' and what follows the last dot, up to a '?'; '' without a dot."""
     return F.when(F.instr(url, ".") > 0, F.concat(F.lit("."), F.regexp_replace(F.substring_index(url, ".", -1), r"(?s)\?.*$", ""))).otherwise("")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from webloom.config import DEFAULT
 from webloom.functions import figures, urls
+from webloom.functions.resolve import resolve
 from webloom.operators.routing import routed
 
 
@@ -36,6 +36,10 @@ _CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr
 _BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
 
 
+#: Elements that may stand inside each other; deeper pages are given up, as a parser with a bounded stack does.
+NESTING = 512
+
+
 class Page(HTMLParser):
     """Links with their text and their parent's text, title, description and whether there is a nav."""
 
@@ -70,6 +74,8 @@ class Page(HTMLParser):
         elif tag == "nav":
             self.nav = True
         if tag not in _VOID:
+            if len(self.open) > NESTING:
+                raise RecursionError("elements nested too deep")
             self.open.append((tag, len(self.texts), link, []))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -99,17 +105,6 @@ class Page(HTMLParser):
             x["context"] = context
 
 
-def resolve(base: str, href: str) -> str | None:
-    """RFC 3986 resolution; None where the reference does not parse."""
-    try:
-        if any(ord(c) < 32 or ord(c) == 127 for c in href):
-            return None
-        urlsplit(href)
-        return urljoin(base, href)
-    except ValueError:
-        return None
-
-
 def dotted(url: str) -> str:
     """As functions.urls.extension."""
     return "." + url.rsplit(".", 1)[1].split("?", 1)[0] if "." in url else ""
@@ -173,14 +168,39 @@ def metadata(pages: DataFrame) -> DataFrame:
     return analyzed(pages).select("page_id", "url", "title", "description", "has_nav", n.alias("link_count"), F.size("documents").cast("long").alias("doc_count"), figures.link_density(n, F.col("size")).alias("link_density"), F.lit(0).alias("depth"))
 
 
-def two_tier_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, route, link): each page by the path that it is routed to. Split before the parser runs."""
+def two_tier_links(pages: DataFrame, outer: bool = False) -> DataFrame:
+    """(page_id, url, route, pos, link): each page by the path that it is routed to. Split before the parser runs.
+
+    With ``outer`` a page without links has one row of null link, so that pages and links are counted in one pass.
+    """
+    explode = F.posexplode_outer if outer else F.posexplode
     both = routed(pages)
-    fast = fast_links(both.where("route = 'fast'")).select("page_id", "url", F.lit("fast").alias("route"), "link")
-    slow = slow_links(both.where("route = 'slow'")).select("page_id", "url", F.lit("slow").alias("route"), "link")
+    fast = both.where("route = 'fast'").select("page_id", "url", explode(raw_links(F.col("html"))).alias("pos", "raw"))
+    fast = fast.select("page_id", "url", F.lit("fast").alias("route"), "pos", F.when(F.col("raw").isNotNull(), urls.make_absolute(F.col("raw"), F.col("url"))).alias("link"))
+    slow = analyzed(both.where("route = 'slow'")).select("page_id", "url", F.lit("slow").alias("route"), explode("links").alias("pos", "link"))
     return fast.unionByName(slow)
 
 
+def two_tier_documents(pages: DataFrame, extensions: Sequence[str] = DEFAULT.extensions) -> DataFrame:
+    """Documents of the pages that are routed to the thorough path; the cheap path finds none."""
+    return documents(routed(pages).where("route = 'slow'"), extensions)
+
+
+def quarantined(done: DataFrame) -> DataFrame:
+    """(page_id, url) of the pages that ``analyzed`` gave up: the log of failed pages, and what is counted."""
+    return done.where("failed").select("page_id", "url")
+
+
+def path_stats(pages: DataFrame, extensions: Sequence[str] = DEFAULT.extensions) -> DataFrame:
+    """(route, n_pages, avg_us, n_links, n_docs) of pages (..., us); the average is a whole number, 0 for no page."""
+    both = routed(pages)
+    fast = both.where("route = 'fast'").select("route", "us", F.size(raw_links(F.col("html"))).alias("links"), F.lit(0).alias("docs"))
+    slow = both.where("route = 'slow'")
+    done = analyzed(slow.withColumn("size", F.col("us")), extensions).select(F.lit("slow").alias("route"), F.col("size").alias("us"), F.size("links").alias("links"), F.size("documents").alias("docs"))
+    total = fast.unionByName(done).groupBy("route").agg(F.count("*").alias("n_pages"), F.sum("us").alias("us"), F.sum("links").alias("n_links"), F.sum("docs").alias("n_docs"))
+    return total.select("route", "n_pages", F.floor(F.col("us") / F.col("n_pages")).alias("avg_us"), "n_links", "n_docs")
+
+
 def new_urls(links: DataFrame, visited: DataFrame | None = None) -> DataFrame:
     """Distinct normalized crawlable URLs of ``links``, without those of ``visited`` (norm_url)."""
     out = links.where(urls.is_crawlable(F.col("link"))).select(urls.normalize_url(F.col("link")).alias("norm_url")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.config import DEFAULT
@@ -46,6 +46,47 @@ def network_report(attempts: DataFrame, queue: int) -> DataFrame:
     return attempts.groupBy("iface").agg(F.count("*").alias("queued")).withColumn("percent", F.round(utilization(F.col("queued"), F.lit(queue)) * 100.0, 6))
 
 
-def failures(made: DataFrame, url: str) -> DataFrame:
-    """Failed attempts of each URL that has one."""
-    return made.where(~F.col("ok")).groupBy(url).agg(F.count("*").alias("failures"))
+def interface_queues(interfaces: DataFrame, queues: DataFrame, queue: int, n: int) -> DataFrame:
+    """Each interface (iface, name, speed) with what is in its queue, what that holds, and the share in percent."""
+    held = queues.where("queue = 'iface'").groupBy("iface").agg(F.count("*").alias("queued"))
+    out = interfaces.join(held, "iface", "left").withColumn("queued", F.coalesce("queued", F.lit(0))).withColumn("capacity", F.lit(queue // n).cast("long"))
+    return out.select("iface", "name", "speed", "queued", "capacity", F.round(utilization(F.col("queued"), F.col("capacity")) * 100.0, 6).alias("percent"))
+
+
+def failures(states: DataFrame, url: str) -> DataFrame:
+    """Of each URL with one: its tasks that used up all their tries. A try that is followed by another counts not."""
+    return states.where("state = 'failed'").groupBy(url).agg(F.count("*").alias("failures"))
+
+
+def first_lines(df: DataFrame, by: str, *order: str, n: int = 10) -> DataFrame:
+    """The first ``n`` rows of each ``by``, numbered: what a log prints before it falls silent. Cut in each task first."""
+    return df.withColumn("line", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("line") <= n)
+
+
+def every(numbered: DataFrame, step: int, seq: str = "seq", coarse: int = 10_000) -> DataFrame:
+    """(attempts, success, failed): the running counters at each ``step`` attempts.
+
+    ``numbered`` has a dense ``seq`` from 1 and ok. Sums of steps are added up in two levels, so that no task gets
+    more than ``coarse`` steps or the sums of these.
+    """
+    steps = numbered.groupBy(F.floor((F.col(seq) - 1) / step).alias("s")).agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"))
+    steps = steps.withColumn("c", F.floor(F.col("s") / coarse))
+    upper = steps.groupBy("c").agg(F.sum("ok").alias("ok")).select("c", (F.sum("ok").over(Window.orderBy("c")) - F.col("ok")).alias("before"))
+    inside = F.sum("ok").over(Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    out = steps.where(F.col("n") == step).withColumn("inside", inside).join(upper, "c").withColumn("attempts", (F.col("s") + 1) * step).withColumn("success", F.col("inside") + F.col("before"))
+    return out.select("attempts", "success", (F.col("attempts") - F.col("success")).alias("failed"))
+
+
+def scale_ticks(ticks: DataFrame, time: str, start: int = DEFAULT.start_workers, most: int = DEFAULT.max_workers) -> DataFrame:
+    """``ticks`` (time, queued, capacity) with the workers after each: what ticks add is summed up to ``most``.
+
+    Ticks are one per interval of a crawl, hence few: one window holds them.
+    """
+    wanted = scale_up(F.col("queued"), F.col("capacity"), F.lit(0), 10**9)
+    return ticks.withColumn("workers", F.least(F.lit(most), start + F.sum(wanted).over(Window.orderBy(time))).cast("long"))
+
+
+def final_report(attempts: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """One row: the counters, bytes as text, downloads and Mbit a second, workers (a column of ``interfaces``) and interfaces."""
+    made = report(attempts).withColumn("size", figures.format_bytes(F.floor("bytes")))
+    return made.crossJoin(F.broadcast(interfaces.agg(F.sum("workers").alias("workers"), F.count("*").alias("interfaces"))))  # one row each

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import figures, urls
-from webloom.operators import extract, frontier, monitor, network, routing, scheduler
-from webloom.sources import sinks
+from webloom.operators import crawl, extract, frontier, monitor, network, routing, scheduler
+from webloom.sources import sinks, tables
 from webloom.sources.tables import pages, read
 from webloom.streaming import streams
 
@@ -55,6 +55,11 @@ links AS (SELECT page_id, url, route, raw, {_ABS} AS link FROM x WHERE raw <> ''
 _BASE = f"WITH {_ROUTED.strip()},{_LINKS}"
 
 
+def _encoded(u: str) -> str:
+    """What the thorough path makes of a URL: as it is, or encoded anew where its path holds an illegal sign."""
+    return f"CASE WHEN regexp_matches({u}, '^[A-Za-z0-9._~!$&''()*+,;=:@\\[\\]/%-]*$') THEN {u} ELSE array_to_string(list_transform(regexp_extract_all({u}, '(?s).'), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9._~$&+,;=:@/%-]$') THEN c ELSE url_encode(c) END), '') END"
+
+
 @query(f"WITH {_ROUTED.strip()} SELECT page_id, size, rule, route FROM r")
 def route_pages(spark, d):
     return routing.routed(pages(spark, d)).select("page_id", "size", "rule", "route")
@@ -92,16 +97,20 @@ def fast_link_counts(spark, d):
     return pages(spark, d).select("page_id", F.size(extract.raw_links(F.col("html"))).cast("long").alias("n_links"))
 
 
-@query(f"{_BASE} SELECT page_id, link FROM links WHERE route = 'slow'")
+@query(f"{_BASE} SELECT page_id, {_encoded('link')} AS link FROM links WHERE route = 'slow'")
 def slow_links(spark, d):
     return extract.slow_links(routing.routed(pages(spark, d)).where("route = 'slow'")).select("page_id", "link")
 
 
+# The pages have no descriptions: every second one gets one.
 @query(f"""{_BASE}, n AS (SELECT page_id, count(*) AS n FROM links GROUP BY 1)
-SELECT r.page_id, replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, '' AS description, contains(lower(html), '<nav') AS has_nav, coalesce(n, 0)::BIGINT AS link_count,
+SELECT r.page_id, replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title,
+  CASE WHEN r.page_id % 2 = 0 THEN 'About ' || r.page_id || ' & "more"' ELSE '' END AS description, contains(lower(html), '<nav') AS has_nav, coalesce(n, 0)::BIGINT AS link_count,
   round(coalesce(n, 0) / (size / 1024.0::DOUBLE), 8) AS link_density FROM r LEFT JOIN n ON r.page_id = n.page_id WHERE route = 'slow'""")
 def page_metadata(spark, d):
     slow = routing.routed(pages(spark, d)).where("route = 'slow'")
+    meta = F.concat(F.lit("<meta content='About "), F.col("page_id"), F.lit(""" &amp; "more"' name=description><meta name=description content=second>"""))
+    slow = slow.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat(meta, "html")).otherwise(F.col("html")))
     return extract.metadata(slow).select("page_id", "title", "description", "has_nav", "link_count", F.round("link_density", 8).alias("link_density"))
 
 
@@ -113,7 +122,7 @@ def link_density_by_host(spark, d):
     return out.select("host", "n_pages", "n_links", F.round(figures.link_density(F.col("n_links"), F.col("size")), 8).alias("density"))
 
 
-@query(f"{_BASE} SELECT page_id, route, link FROM links")
+@query(f"{_BASE} SELECT page_id, route, CASE WHEN route = 'slow' THEN {_encoded('link')} ELSE link END AS link FROM links")
 def two_tier_links(spark, d):
     return extract.two_tier_links(pages(spark, d)).select("page_id", "route", "link")
 
@@ -121,12 +130,13 @@ def two_tier_links(spark, d):
 @query(f"""{_BASE} SELECT r.route, count(DISTINCT r.page_id)::BIGINT AS n_pages, count(link)::BIGINT AS n_links, count(DISTINCT {_norm('link')})::BIGINT AS n_distinct
 FROM r LEFT JOIN links ON r.page_id = links.page_id GROUP BY r.route""")
 def two_tier_stats(spark, d):
-    links = extract.two_tier_links(pages(spark, d)).groupBy("route").agg(F.count("*").alias("n_links"), F.count_distinct(urls.normalize_url(F.col("link"))).alias("n_distinct"))
-    n = routing.routed(pages(spark, d)).groupBy("route").agg(F.count("*").alias("n_pages"))
-    return n.join(links, "route", "left").select("route", "n_pages", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
+    # One row at least of each page, the first of which counts it: pages and links in one pass.
+    each = extract.two_tier_links(pages(spark, d), outer=True)
+    first = F.coalesce("pos", F.lit(0)) == 0
+    return each.groupBy("route").agg(F.count_if(first).alias("n_pages"), F.count("link").alias("n_links"), F.count_distinct(urls.normalize_url(F.col("link"))).alias("n_distinct"))
 
 
-@query(f"{_BASE} SELECT page_id, link FROM links")
+@query(f"{_BASE} SELECT page_id, {_encoded('link')} AS link FROM links")
 def single_tier_links(spark, d):
     return extract.slow_links(pages(spark, d)).select("page_id", "link")
 
@@ -155,9 +165,10 @@ def filename_from_url(spark, d):
     return read(spark, d, "pages").select("page_id", F.when(name.startswith("download_"), "(generated)").otherwise(name).alias("filename"))
 
 
-@query(f"SELECT {_NAME} AS filename, count(*)::BIGINT AS n_urls FROM pages WHERE contains({_NAME}, '.') GROUP BY 1 HAVING count(*) > 1")
+@query(f"{_BASE}, u AS (SELECT DISTINCT link AS url FROM links) SELECT {_NAME} AS filename, count(*)::BIGINT AS n_urls FROM u WHERE contains({_NAME}, '.') GROUP BY 1 HAVING count(*) > 1")
 def filename_collisions(spark, d):
-    return sinks.collisions(sinks.document_names(read(spark, d, "pages").select("url"))).where("NOT startswith(filename, 'download_')")
+    found = extract.fast_links(pages(spark, d)).select(F.col("link").alias("url")).distinct()
+    return sinks.collisions(sinks.document_names(found)).where("NOT startswith(filename, 'download_')")
 
 
 @query(f"{_BASE} SELECT DISTINCT {_norm('link')} AS norm_url FROM links WHERE {_norm('link')} NOT IN (SELECT {_norm('url')} FROM pages)")
@@ -167,11 +178,31 @@ def frontier_new_urls(spark, d):
     return extract.new_urls(extract.two_tier_links(p), visited)
 
 
-@query(f"{_BASE}, n AS (SELECT page_id AS dst, {_norm('url')} AS norm_url FROM pages) SELECT links.page_id AS src, n.dst, count(*)::BIGINT AS n_links FROM links JOIN n ON {_norm('link')} = n.norm_url GROUP BY 1, 2")
+# The pages link to none of each other. A URL that they lack shows one of them, picked by its hash.
+_N = "(SELECT count(*) FROM pages)"
+
+
+def _served(u: str) -> str:
+    return f"(('0x' || substr(md5({u}), 1, 8))::BIGINT % {_N})"
+
+
+@query(f"""{_BASE}, l AS (SELECT page_id, {_norm('link')} AS norm_url FROM links),
+site AS (SELECT page_id, {_norm('url')} AS norm_url FROM pages UNION SELECT {_served('norm_url')}, norm_url FROM l)
+SELECT l.page_id AS src, site.page_id AS dst, count(*)::BIGINT AS n_links FROM l JOIN site USING (norm_url) GROUP BY 1, 2""")
 def edges_in_corpus(spark, d):
     p = pages(spark, d)
     links = extract.fast_links(p).select(F.col("page_id").alias("src"), urls.normalize_url(F.col("link")).alias("norm_url"))
-    return links.join(p.select(F.col("page_id").alias("dst"), urls.normalize_url(F.col("url")).alias("norm_url")), "norm_url").groupBy("src", "dst").agg(F.count("*").alias("n_links"))
+    own = p.select(F.col("page_id").alias("dst"), urls.normalize_url(F.col("url")).alias("norm_url"))
+    site = own.union(links.select(crawl.served(F.col("norm_url"), p.count()), "norm_url")).distinct()
+    return links.join(site, "norm_url").groupBy("src", "dst").agg(F.count("*").alias("n_links"))
+
+
+@query(f"""WITH RECURSIVE raws AS (SELECT page_id, raw FROM (SELECT page_id, regexp_replace(unnest(regexp_extract_all(html, '(?i)href=("[^"]*|''[^'']*|[^ >]*)', 1)), '^["'']', '') AS raw FROM pages) WHERE raw <> '' AND NOT regexp_matches(raw, '^(#|javascript:|mailto:)')),
+b(url, depth) AS (SELECT {_norm('url')}, 0 FROM pages UNION SELECT {_norm(f"({_ABS})")}, depth + 1 FROM b JOIN raws ON raws.page_id = {_served('url')} WHERE depth < 2)
+SELECT url, min(depth)::INTEGER AS depth FROM b GROUP BY url""")
+def crawl_pages(spark, d):
+    p = pages(spark, d)
+    return crawl.crawl(p.select("url"), crawl.from_table(p), 2)
 
 
 # A chain longer than the depth limit, a cycle, a diamond and a self-link, hung on the customers' nations.
@@ -194,9 +225,12 @@ def visited_distinct(spark, d):
     return extract.two_tier_links(pages(spark, d)).agg(F.count_distinct(urls.normalize_url(F.col("link"))).alias("n_visited"))
 
 
-@query()
+@query(f"{_BASE} SELECT count(DISTINCT {_norm('link')})::BIGINT AS n_visited, true AS near FROM links")
 def visited_approx(spark, d):
-    return extract.fast_links(pages(spark, d)).agg(F.approx_count_distinct(urls.normalize_url(F.col("link")), 0.02).alias("n_visited"))
+    """The sketch held against the exact count: within three times its standard error."""
+    norm = urls.normalize_url(F.col("link"))
+    both = extract.fast_links(pages(spark, d)).select(norm.alias("u")).agg(F.approx_count_distinct("u", 0.02).alias("sketch"), F.count_distinct("u").alias("n_visited"))
+    return both.select("n_visited", (F.abs(F.col("sketch") - F.col("n_visited")) <= 0.06 * F.col("n_visited")).alias("near"))
 
 
 @query(f"{_BASE} SELECT DISTINCT link AS url FROM links WHERE page_id % 2 = 1 AND link NOT IN (SELECT link FROM links WHERE page_id % 2 = 0)")
@@ -249,9 +283,17 @@ def task_states(spark, d):
     return scheduler.final_states(_tries(spark, d), "user_id", "day").groupBy("state").agg(F.count("*").alias("n_tasks"), F.sum("attempts").alias("attempts"))
 
 
-@query(f"{_TRIES} SELECT user_id, count(*)::BIGINT AS failures FROM m WHERE NOT ok GROUP BY 1")
+_STATES = f"{_TRIES}, s AS (SELECT user_id, day, CASE WHEN max(ok::INT) = 1 THEN 'downloaded' WHEN count(*) > 3 THEN 'failed' ELSE 'pending' END AS state FROM m GROUP BY user_id, day)"
+
+
+@query(f"{_STATES} SELECT user_id, count(*)::BIGINT AS failures FROM s WHERE state = 'failed' GROUP BY 1")
 def failures_per_task(spark, d):
-    return monitor.failures(_tries(spark, d), "user_id")
+    return monitor.failures(scheduler.final_states(_tries(spark, d), "user_id", "day"), "user_id")
+
+
+@query(f"{_STATES} SELECT user_id, day, state, coalesce(bool_and(state = 'failed') OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS enqueued FROM s")
+def reenqueued(spark, d):
+    return scheduler.rediscovered(scheduler.final_states(_tries(spark, d), "user_id", "day"), "day", url="user_id").select("user_id", "day", "state", "enqueued")
 
 
 _IFACES = "(VALUES (0, 'a', 10000, true), (1, 'b', 1000, true), (2, 'c', 100, true), (3, 'd', 100000, false), (4, 'e', 11000, true), (5, 'f', 2500, true), (6, 'enp3s0f1', NULL, true), (7, 'wg0', NULL, false), (8, 'enp9s0', NULL, true), (9, 'g', -1, true))"
@@ -330,13 +372,157 @@ def stream_perf(spark, d):
     return streams.drained(streams.window_counts(streams.events(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))), "complete")
 
 
-@query()
+# A task ends with a success, or with every fourth failure since the last success.
+@query("""WITH e AS (SELECT 'u' || user_id AS url, event_type <> 'error' AS ok, ts, event_id FROM events),
+g AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY url ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY url, run ORDER BY ts, event_id) AS k FROM g)
+SELECT url, ((k - 1) % 4 + 1)::BIGINT AS attempts, CASE WHEN ok THEN 'downloaded' ELSE 'failed' END AS state FROM k WHERE ok OR k % 4 = 0""")
 def stream_retries(spark, d):
-    tasks = streams.events(spark, d).select(F.concat(F.lit("u"), "user_id").alias("url"), (F.col("event_type") != "error").alias("ok"))
-    return streams.drained(streams.retry_states(tasks))
+    tasks = streams.events(spark, d).select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("event_type") != "error").alias("ok"))
+    return streams.drained(streams.retry_states(tasks, "ts", "event_id"))
 
 
-@query()
+@query(f"SELECT page_id, {_SCHEME} || '://' || {_HOST} || '/files/r' || page_id || '.pdf' AS url, '.pdf' AS extension, 'the report' AS title, 'Get the report now.' AS context, url AS page_url FROM pages")
 def slow_documents(spark, d):
     made = read(spark, d, "pages").select("page_id", "url", F.concat(F.lit("<p>Get <a href='/files/r"), "page_id", F.lit(".pdf'>the <b>report</b></a> now.</p>"), "html").alias("html"), F.lit(1).cast("long").alias("size"))
     return extract.documents(made)
+
+
+# The pages link to no .pdf; their links end in words, some of which stand for extensions here.
+_DOCS = """
+a AS (SELECT page_id, url, route, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS raw, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS title FROM r),
+u AS (SELECT page_id, route, url AS page_url, """ + _ABS + """ AS url, title FROM a),
+f AS (SELECT page_id, route, page_url, """ + _encoded("url") + """ AS url, title FROM u)"""
+_DOC = "SELECT page_id, page_url, url, '.' || regexp_replace(string_split(url, '.')[-1], '\\?.*$', '') AS extension, title, title AS context FROM f"
+
+
+@query(f"WITH {_ROUTED.strip()},{_DOCS} {_DOC} WHERE route = 'slow' AND (ends_with(lower(url), 'the') OR ends_with(lower(url), 'tion') OR ends_with(lower(url), 'die'))")
+def two_tier_documents(spark, d):
+    return extract.two_tier_documents(pages(spark, d), ("the", "tion", "die"))
+
+
+@query(f"WITH {_ROUTED.strip()},{_DOCS} {_DOC} WHERE ends_with(lower(url), 'the') OR contains(lower(url), 'the?') OR contains(lower(url), 'the&') OR ends_with(lower(url), 'die') OR contains(lower(url), 'die?') OR contains(lower(url), 'die&')")
+def single_tier_documents(spark, d):
+    return extract.documents(pages(spark, d), ("the", "die"), contains=True)
+
+
+@query(f"""{_BASE}, n AS (SELECT page_id, count(*) AS n, count(*) FILTER (ends_with(lower(link), 'the')) AS docs FROM links GROUP BY 1)
+SELECT route, count(*)::BIGINT AS n_pages, (sum(size) // count(*))::BIGINT AS avg_us, sum(coalesce(n, 0))::BIGINT AS n_links, sum(CASE WHEN route = 'slow' THEN coalesce(docs, 0) ELSE 0 END)::BIGINT AS n_docs FROM r LEFT JOIN n ON r.page_id = n.page_id GROUP BY route""")
+def path_stats(spark, d):
+    """Sizes stand for the microseconds of a page."""
+    return extract.path_stats(pages(spark, d).withColumn("us", F.col("size")), ("the",))
+
+
+# Every seventh page is nested deeper than the parser's stack.
+@query("SELECT count(*)::BIGINT AS panics FROM pages WHERE page_id % 7 = 0")
+def panic_count(spark, d):
+    deep = pages(spark, d).withColumn("html", F.when(F.col("page_id") % 7 == 0, F.concat(F.repeat(F.lit("<b>"), extract.NESTING + 1), "html")).otherwise(F.col("html")))
+    return extract.quarantined(extract.analyzed(deep)).agg(F.count("*").alias("panics"))
+
+
+@query(f"""{_BASE}, n AS (SELECT r.route, r.page_id, count(raw)::BIGINT AS n_links FROM r LEFT JOIN links ON r.page_id = links.page_id GROUP BY 1, 2)
+SELECT route, page_id, n_links, row_number() OVER (PARTITION BY route ORDER BY page_id)::INTEGER AS line FROM n QUALIFY line <= 10""")
+def first_n_log(spark, d):
+    each = routing.routed(pages(spark, d)).select("route", "page_id", F.size(extract.raw_links(F.col("html"))).cast("long").alias("n_links"))
+    return monitor.first_lines(each, "route", "page_id")
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS attempts, event_type <> 'error' AS ok FROM events),
+c AS (SELECT attempts, sum(ok::INT) OVER (ORDER BY attempts) AS success FROM e)
+SELECT attempts::BIGINT AS attempts, success::BIGINT AS success, (attempts - success)::BIGINT AS failed FROM c WHERE attempts % 100 = 0""")
+def stats_every(spark, d):
+    return monitor.every(scheduler.numbered(attempts(spark, d), "ts", "event_id"), 100)
+
+
+_SMALL = f"""{_SEQ}, a AS (SELECT url, seq, (seq % 4)::INTEGER AS iface, row_number() OVER (PARTITION BY seq % 4 ORDER BY seq) AS place FROM t)"""
+
+
+# Each interface holds 10, the priority queue 30; 5 and 2 places come free a round.
+@query(f"""{_SMALL}, o AS (SELECT url, seq, row_number() OVER (ORDER BY seq) - 1 AS r FROM a WHERE place > 10 QUALIFY row_number() OVER (ORDER BY seq) > 30),
+q AS (SELECT *, (r - 30) // 13 AS n, (r - 30) % 13 AS p FROM o)
+SELECT url, CASE WHEN n < 50 THEN n END::INTEGER AS attempt, CASE WHEN n >= 50 THEN 'dropped' WHEN p < 5 THEN 'priority' ELSE 'iface ' || ((p - 5) // 2) END AS queue,
+  (least(n, 49) * (least(n, 49) + 1) // 2 * 50)::BIGINT AS waited_ms FROM q""")
+def persistent_enqueue(spark, d):
+    over = scheduler.admitted(_numbered(spark, d), 4, queue=40, priority=30).where("queue = 'overflow'").withColumn("rank", F.col("seq") - 70)
+    return scheduler.persistent(over.drop("queue"), 4, 5, 2).select("url", "attempt", "queue", "waited_ms")
+
+
+@query(f"""{_SMALL}, w AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS ahead FROM a WHERE place > 100 QUALIFY row_number() OVER (ORDER BY seq) <= 300),
+n AS (SELECT i AS iface, (SELECT count(*) FROM w WHERE ahead % 4 = i) AS taken FROM (SELECT unnest(range(4)) AS i))
+SELECT url, 'priority' AS queue, (ahead % 4)::INTEGER AS puller, (ahead // 4)::BIGINT AS turn FROM w
+UNION ALL SELECT url, 'iface', a.iface, (taken + place - 1)::BIGINT FROM a JOIN n ON a.iface = n.iface WHERE place <= 100""")
+def worker_pull(spark, d):
+    queues = scheduler.admitted(_numbered(spark, d), 4, queue=400, priority=300)
+    return scheduler.pulled(queues, 4, queue=400).select("url", "queue", "puller", "turn")
+
+
+@query(f"{_SMALL} SELECT (count(*) FILTER (place <= 100) + least(count(*) FILTER (place > 100), 300))::BIGINT AS queued, 700::BIGINT AS capacity FROM a")
+def queue_totals(spark, d):
+    return scheduler.queue_totals(scheduler.admitted(_numbered(spark, d), 4, queue=400, priority=300), 4, 400, 300)
+
+
+@query(f"""{_SEQ}, a AS (SELECT (seq % 10)::INTEGER AS iface, row_number() OVER (PARTITION BY seq % 10 ORDER BY seq) AS place FROM t),
+n AS (SELECT iface, count(*) AS queued FROM a WHERE place <= 30 GROUP BY 1), {_SPEEDS.removeprefix('WITH ')}
+SELECT c.iface, name, speed, coalesce(queued, 0)::BIGINT AS queued, 30::BIGINT AS capacity, round(coalesce(queued, 0) / 30.0::DOUBLE * 100, 6) AS percent FROM c LEFT JOIN n ON c.iface = n.iface""")
+def interface_queues(spark, d):
+    return monitor.interface_queues(_ifaces(spark), scheduler.admitted(_numbered(spark, d), 10, queue=300, priority=20), 300, 10)
+
+
+@query(f"{_SEQ}, {_SPEEDS.removeprefix('WITH ')} SELECT url, seq, name, speed FROM t JOIN c ON t.seq % 10 = c.iface")
+def task_interfaces(spark, d):
+    return scheduler.with_interfaces(scheduler.round_robin(_numbered(spark, d), 10), _ifaces(spark), "name", "speed").select("url", "seq", "name", "speed")
+
+
+@query(f"{_SEQ} SELECT url, seq, greatest(0, (seq - 24) * 10)::BIGINT AS wait_us FROM t")
+def rate_limited(spark, d):
+    return scheduler.rate_limited(_numbered(spark, d), burst=24)
+
+
+@query(f"{_SPEEDS} SELECT iface, w::INTEGER AS worker, (w % 64)::INTEGER AS client FROM (SELECT iface, unnest(range(least(worker_count, 110))) AS w FROM c)")
+def worker_clients(spark, d):
+    started = scheduler.initial_workers(_ifaces(spark), 10)
+    each = started.select("iface", F.explode(F.sequence(F.lit(0), F.col("workers").cast("int") - 1)).alias("worker"))
+    return each.withColumn("client", scheduler.client_of(F.col("worker")))
+
+
+@query("""WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS queued FROM events GROUP BY 1), c AS (SELECT *, (SELECT max(queued) FROM h) AS capacity FROM h),
+s AS (SELECT *, CASE WHEN queued / capacity > 0.8 THEN 1200 WHEN queued / capacity > 0.6 THEN 600 WHEN queued / capacity > 0.4 THEN 300 ELSE 0 END AS added FROM c)
+SELECT hour, queued::BIGINT AS queued, least(800, 100 + sum(added) OVER (ORDER BY hour))::BIGINT AS workers FROM s""")
+def scale_ticks(spark, d):
+    hours = read(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("queued"))
+    ticks = hours.crossJoin(F.broadcast(hours.agg(F.max("queued").alias("capacity"))))  # one row
+    return monitor.scale_ticks(ticks, "hour").select("hour", "queued", "workers")
+
+
+@query(f"""WITH n AS (SELECT {_COUNTS}, {_BYTES} AS bytes, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS s FROM events), {_SPEEDS.removeprefix('WITH ')},
+w AS (SELECT sum(least(worker_count, 110))::BIGINT AS workers, count(*)::BIGINT AS interfaces FROM c WHERE is_active)
+SELECT attempts, success, failed, CASE WHEN bytes >= 1048576 THEN printf('%.1f MB', round_even(floor(bytes) / 1048576, 1)) WHEN bytes >= 1024 THEN printf('%.1f KB', round_even(floor(bytes) / 1024, 1)) ELSE floor(bytes)::BIGINT || ' B' END AS size,
+  round(success / s, 8) AS downloads_per_s, round(bytes * 8 / s / 1048576, 10) AS mbps, workers, interfaces FROM n, w""")
+def final_report(spark, d):
+    started = scheduler.initial_workers(_ifaces(spark), 10).where("is_active")
+    return monitor.final_report(attempts(spark, d), started).select("attempts", "success", "failed", "size", "downloads_per_s", "mbps", "workers", "interfaces")
+
+
+# Every page's URL as a seed typed in five ways.
+_RAW = "(SELECT unnest([url, regexp_replace(url, '^https?', 'ftp'), regexp_replace(url, '^https?://', ''), regexp_replace(url, '^[^/]*//[^/?#]*', ''), 'HTTP' || regexp_replace(url, '^https?', '')]) AS raw FROM pages)"
+
+
+@query(f"""WITH s AS (SELECT raw, regexp_extract(raw, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1) AS scheme, regexp_extract(raw, '^[^:/?#]+://([^/?#]*)', 1) AS host FROM {_RAW})
+SELECT CASE WHEN lower(scheme) IN ('http', 'https') THEN raw ELSE 'https' || substr(raw, length(scheme) + 1) END AS url, 0::INTEGER AS depth FROM s WHERE scheme <> '' AND host <> ''""")
+def seeds(spark, d):
+    u = F.col("url")
+    typed = F.array(u, F.regexp_replace(u, "^https?", "ftp"), F.regexp_replace(u, "^https?://", ""), F.regexp_replace(u, "^[^/]*//[^/?#]*", ""), F.concat(F.lit("HTTP"), F.regexp_replace(u, "^https?", "")))
+    return tables.seeds(read(spark, d, "pages").select(F.explode(typed).alias("raw")))
+
+
+_NICS = "('eth0', array('fe80::1', '10.0.0.5', '10.0.0.6'), false, true, true), ('lo', array('127.0.0.1'), true, true, true), ('virbr0', array('192.168.0.1'), false, true, true), ('docker0', array('172.17.0.1'), false, true, true), ('tun0', array('10.8.0.2'), false, true, false), ('eth1', array('fe80::2'), false, true, true), ('eth2', array('fe80::3'), false, false, false), ('eth3', array('10.0.0.9'), false, false, false), ('eth4', array(), false, true, true)"
+
+
+@query("""SELECT * FROM (VALUES ('eth0', '10.0.0.5', true), ('tun0', '10.8.0.2', false), ('eth1', '', true), ('eth3', '10.0.0.9', false)) AS t(name, ip, is_active)""")
+def interface_source(spark, d):
+    return tables.interfaces(spark.sql(f"SELECT * FROM VALUES {_NICS} AS t(name, ips, is_loopback, is_up, is_running)")).select("name", "ip", "is_active")
+
+
+@query("SELECT event_id, coalesce(try_cast(regexp_extract(json_extract_string(props, '$.k'), '^\\s*([+-]?[0-9]+)', 1) AS INTEGER), 0) AS depth FROM events")
+def depth_codec(spark, d):
+    return read(spark, d, "events").select("event_id", urls.depth(F.get_json_object("props", "$.k")).alias("depth"))

@@ -28,9 +28,12 @@ def seeds(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def interfaces(df: DataFrame) -> DataFrame:
-    """Network interfaces to use: of (name, ips, is_loopback, is_up, is_running), with the first IPv4 and activity."""
+    """Network interfaces to use: of (name, ips, is_loopback, is_up, is_running), with the first IPv4 and activity.
+
+    Out are loopback and virtual ones, those without any address, and those that have no IPv4 and are down.
+    """
     ip = F.get(F.filter("ips", lambda x: x.rlike(r"^\d+\.\d+\.\d+\.\d+$")), F.lit(0))
-    known = df.where(~F.col("is_loopback") & ~F.col("name").contains("vir") & ~F.col("name").contains("docker"))
+    known = df.where(~F.col("is_loopback") & ~F.col("name").contains("vir") & ~F.col("name").contains("docker") & (F.size("ips") > 0))
     return known.withColumn("ip", F.coalesce(ip, F.lit(""))).where((F.col("ip") != "") | F.col("is_up")).withColumn("is_active", F.col("is_up") & F.col("is_running"))
 
 

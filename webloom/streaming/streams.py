@@ -29,21 +29,23 @@ def window_counts(stream: DataFrame, time: str = "ts", width: str = "1 day", del
     return out.select(F.col("w.start").alias("start"), "attempts", "success")
 
 
-def retry_states(stream: DataFrame, retries: int = DEFAULT.retries) -> DataFrame:
+def retry_states(stream: DataFrame, *order: str, retries: int = DEFAULT.retries) -> DataFrame:
     """(url, attempts, state) whenever a task ends: downloaded on success, failed after 1 + ``retries`` failures.
 
-    ``stream`` has url and ok, in order of arrival. A task that has ended starts anew when its URL comes again.
+    ``stream`` has url, ok and the columns of ``order``, in which a batch's attempts of a URL are taken; batches
+    follow each other, so what a batch may hold (``events``) bounds what a URL brings at once. A task that has ended
+    starts anew when its URL comes again.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
         ended = []
-        for pdf in batches:
-            for ok in pdf["ok"]:
-                n += 1
-                if ok or n > retries:
-                    ended.append((key[0], n, "downloaded" if ok else "failed"))
-                    n = 0
+        made = pd.concat(list(batches))
+        for ok in (made.sort_values(list(order), kind="stable") if order else made)["ok"]:
+            n += 1
+            if ok or n > retries:
+                ended.append((key[0], n, "downloaded" if ok else "failed"))
+                n = 0
         if n:
             state.update((n,))
         elif state.exists:
@@ -53,11 +55,14 @@ def retry_states(stream: DataFrame, retries: int = DEFAULT.retries) -> DataFrame
     return stream.groupBy("url").applyInPandasWithState(step, "url string, attempts long, state string", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a bounded stream to its end into a table in the shared scratch folder, and reads that."""
+def drained(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Runs a bounded stream to its end into a table in the shared scratch folder, and reads that.
+
+    A ``path`` given again goes on where the run before it ended: its state and offsets are kept there.
+    """
     spark = stream.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = path or f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
@@ -71,11 +76,14 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/data").select(*schema.names)
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream: a folder of files, or one file, which a stream reads by its folder."""
+def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1000) -> DataFrame:
+    """The events table as a stream: a folder of files, or one file, which a stream reads by its folder.
+
+    A batch takes ``files_per_batch`` files at most: what arrives faster waits in the folder.
+    """
     path = f"{sf_dir}/events.parquet"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
     if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(place).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
