@@ -9,7 +9,6 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from webloom.llm import bpe, chat, decontam, jaccard, labelled, licenses, lines, quality_model, quality_rules, queries, tokens, toxicity, words
 
 public = pytest.importorskip("public_tokenizers")
@@ -330,6 +329,23 @@ def test_bpe(spark):
         assert list(r.ids) == known.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode() and r.node == "keep"
 
 
+def test_empty_tables_and_odd_names(spark):
+    """No rows give no rows; a text column with a dot in its name is read like any other."""
+    path, model = public.path("byte_bpe_50k.tiktoken"), public.path("piece_bpe_32k.model")
+    empty = table(spark, [])
+    assert bpe.bpe_roundtrip(empty, path, public.PATTERN).count() == tokens.count_tokens(empty, model).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert empty.select(quality_model.score(empty, quality_model.fit(empty, labels))).count() == empty.select(toxicity.score(empty, toxicity.fit(empty, labels))).count() == 0
+    odd = spark.createDataFrame([(1, "a b", "mine")], "`doc.id` long, `my.text` string, both string")
+    (row,) = bpe.bpe_roundtrip(odd, path, public.PATTERN, text="my.text").collect()
+    assert row.both == "mine" and bytes(row.decoded) == b"a b"
+    assert [r.n_tokens for r in tokens.count_tokens(odd, model, text="my.text").collect()] == [2]
+    assert [r.n_words for r in licenses.license_scan(odd, "doc.id", "my.text").collect()] == [2]
+    assert [r.component_id for r in jaccard.jaccard_classes(odd, "doc.id", "my.text").collect()] == [1]
+    assert [r.kept for r in quality_rules.quality_cascade(odd, text="my.text").collect()] == [False]
+    assert [r["my.text"] for r in lines.drop_shared_lines(odd, "doc.id", "my.text").collect()] == ["a b"]
+
+
 def test_bpe_merge_against_a_plain_scan():
     known = ranks()
 
@@ -499,18 +515,6 @@ def test_pieces():
     assert len(set(h[2:200002].tolist())) == 1
 
 
-def test_pipeline(spark):
-    assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
-    sf = "/root/testdata/sf0.001"
-    out = corpus_pipeline.run(spark, sf)
-    rows = out.collect()
-    assert rows and all(r.same for r in rows) and len({r.doc_id for r in rows}) == len(rows)
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[1:4]:
-        assert stage(spark, docs, sf).columns == docs.columns
-        assert stage(spark, docs.limit(0), sf).count() == 0
-
-
 def test_queries_match_their_sql(spark):
     import duckdb
 

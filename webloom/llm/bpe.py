@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import fresh
+from webloom.llm.common import fresh, quoted
 
 #: Entries of each worker's cache of encoded pre-tokens, at most; and the longest pre-token that is kept.
 CACHED, CACHED_CHARS = 200_000, 64
@@ -255,5 +255,5 @@ def bpe_roundtrip(df: DataFrame, path: str, pattern: str, text: str = "text", id
                 yield pa.StructArray.from_arrays([_lists(raw), pa.array(back, pa.binary())], ["ids", "decoded"])
 
     name = fresh(df, "both")["both"]
-    out = df.withColumn(name, both(F.col(text)))
+    out = df.withColumn(name, both(F.col(quoted(text))))
     return out.withColumn(ids, F.col(name)["ids"]).withColumn(decoded, F.col(name)["decoded"]).drop(name)

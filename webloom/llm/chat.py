@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import quoted
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -40,8 +42,10 @@ def format_examples(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     not end with an assistant turn, one more row of no loss (target null) holds the whole conversation, so that
     no turn is lost. Null texts and roles are empty; turns of equal or null number stand in the order of role and
     text, nulls first; repeated rows are turns of their own. Other columns are left out. An empty table gives none.
+    Each example repeats its context, so a conversation's examples grow with the square of its turns: that is what
+    the expansion is. A conversation is one row until it is exploded, and must fit into one.
     """
-    clean = df.select(F.col(conv_id).alias("conv"), F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("turn"))
+    clean = df.select(F.col(quoted(conv_id)).alias("conv"), F.struct(F.col(quoted(turn)).alias("n"), F.coalesce(F.col(quoted(role)), F.lit("")).alias("role"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")).alias("turn"))
     whole = clean.groupBy("conv").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     whole = whole.select("conv", F.transform("turns", lambda t: F.struct(
         (t["role"] == assistant).alias("target"),

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import quoted
+
 #: Entries of the broadcast table, and of each worker's cache, at most.
 FREQUENT, CACHED = 50_000, 200_000
 #: Entries of a task's own table of frequent pre-tokens, and tasks that add these tables up.
@@ -174,7 +176,7 @@ def frequent_lengths(df: DataFrame, text: str, model: str, frequent: int = FREQU
     off: the table decides speed alone.
     """
     kind = "words string, counts array<long>"
-    rows = df.select(F.col(text)).mapInArrow(_tally(a_task), kind).repartition(MERGERS)
+    rows = df.select(F.col(quoted(text)).alias("text")).mapInArrow(_tally(a_task), kind).repartition(MERGERS)
     best = rows.mapInArrow(_merged(frequent), kind).coalesce(1).mapInArrow(_merged(frequent), kind)
     row = best.mapInArrow(_sized(model), "words string, lengths binary").first()
     return (row.words, bytes(row.lengths)) if row and row.lengths else ("", b"")
@@ -193,7 +195,7 @@ def token_counts(df: DataFrame, text: str, model: str, frequent: int = FREQUENT)
         for texts in batches:
             yield pd.Series([own.count(t) for t in texts], dtype="int64")
 
-    return lengths(F.col(text))
+    return lengths(F.col(quoted(text)))
 
 
 def count_tokens(df: DataFrame, model: str, text: str = "text", limit: int = 4096, into: str = "n_tokens", over: str = "over_limit") -> DataFrame:

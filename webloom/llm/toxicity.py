@@ -99,7 +99,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "d
     """The model of up to ``rows`` labelled documents that are not held out.
 
     Counts are made in the tasks; the driver gets the ``features`` buckets that tell the classes apart best, chosen
-    in the tasks too, and which of them each sampled document has. With no document of one class the model is
+    in the tasks too, and which of them each sampled document has (``rows`` lists of ``features`` numbers at most). With no document of one class the model is
     constant. Ids with both labels are left out. The order of rows changes nothing.
     """
     own = Scratch(df.sparkSession, "toxicity")
