@@ -141,13 +141,17 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str =
         train.unpersist()
     x = found["x"].combine_chunks().values.to_numpy().reshape(-1, 2 * DIMS + 6).astype(np.float64) if len(found) else np.zeros((0, 2 * DIMS + 6))
     y = found["label"].to_numpy().astype(np.float64)
+    order = np.lexsort(np.column_stack([x, y]).T)  # rows come in any order; training must not depend on it
+    return Model(vectors, *trained(x[order], y[order]))
+
+
+def trained(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], float]:
+    """(mean, spread, layers, temperature): the network of rows ``x`` with labels ``y``, every fifth kept for the temperature."""
     rng = np.random.Generator(np.random.PCG64(5))
     layers = [rng.normal(0, 0.2, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.2, HIDDEN), np.zeros(1)]
     if not len(y):
         layers[2][:] = 0
-        return Model(vectors, np.zeros(x.shape[1]), np.ones(x.shape[1]), layers, 1.0)
-    order = np.lexsort(np.column_stack([x, y]).T)  # rows come in any order; training must not depend on it
-    x, y = x[order], y[order]
+        return np.zeros(x.shape[1]), np.ones(x.shape[1]), layers, 1.0
     mean, spread = x.mean(0), x.std(0) + 1e-6
     x = (x - mean) / spread
     mixed = rng.permutation(len(y))
@@ -161,7 +165,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str =
             adam.step([x[batch].T @ back + 1e-4 * layers[0], back.sum(0), h.T @ g + 1e-4 * layers[2], np.array([g.sum()])])
     z = _forward(layers, x[held])[1] if len(held) else np.zeros(0)
     loss = lambda t: -np.mean(y[held] * np.log(sigmoid(z / t) + 1e-12) + (1 - y[held]) * np.log(1 - sigmoid(z / t) + 1e-12)) if len(z) else 0.0
-    return Model(vectors, mean, spread, layers, float(min(np.geomspace(0.25, 8, 61), key=loss)))
+    return mean, spread, layers, float(min(np.geomspace(0.25, 8, 61), key=loss))
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> Column:
