@@ -221,6 +221,18 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "log")).count() == 6
 
 
+def test_document_files(spark, tmp_path):
+    """Equal names overwrite each other, in order; a second run leaves the same files."""
+    df = spark.createDataFrame([("https://a.com/x.pdf", 200, b"1", 2), ("https://b.com/x.pdf", 200, b"22", 1), ("https://c.com/y.pdf", 404, b"", 3), ("https://d.com/z.pdf", 200, None, 4)], "url string, status int, content binary, at int")
+    folder = tmp_path / "files"
+    for _ in range(2):
+        got = {tuple(r) for r in sinks.write_files(df, f"file://{folder}", F.col("at")).collect()}
+        assert got == {("x.pdf", "https://a.com/x.pdf", 1), ("z.pdf", "https://d.com/z.pdf", 0)}
+        assert {f.name: f.read_bytes() for f in folder.iterdir()} == {"x.pdf": b"1", "z.pdf": b""}
+    sinks.write_files(df, f"file://{folder}").collect()
+    assert (folder / "x.pdf").read_bytes() == b"22"
+
+
 def test_stream_retries(spark, tmp_path):
     spark.createDataFrame([("a", False), ("a", False), ("a", False), ("a", False), ("b", True)], "url string, ok boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("url string, ok boolean").parquet(str(tmp_path / "in"))

@@ -90,3 +90,8 @@ def final_report(attempts: DataFrame, interfaces: DataFrame) -> DataFrame:
     """One row: the counters, bytes as text, downloads and Mbit a second, workers (a column of ``interfaces``) and interfaces."""
     made = report(attempts).withColumn("size", figures.format_bytes(F.floor("bytes")))
     return made.crossJoin(F.broadcast(interfaces.agg(F.sum("workers").alias("workers"), F.count("*").alias("interfaces"))))  # one row each
+
+
+def path_lines(stats: DataFrame) -> DataFrame:
+    """(line): what a log says of each path (route, n_pages, avg_us, n_links, n_docs)."""
+    return stats.select(F.format_string("%s path: %d pages, %d us on average, %d links, %d documents", "route", "n_pages", "avg_us", "n_links", "n_docs").alias("line"))

@@ -406,13 +406,21 @@ def single_tier_documents(spark, d):
     return extract.documents(pages(spark, d), ("the", "die"), contains=True)
 
 
-@query(f"""{_BASE}, n AS (SELECT page_id, count(*) AS n, count(*) FILTER (ends_with(lower(link), 'the')) AS docs FROM links GROUP BY 1)
-SELECT route, count(*)::BIGINT AS n_pages, (sum(size) // count(*))::BIGINT AS avg_us, sum(coalesce(n, 0))::BIGINT AS n_links, sum(CASE WHEN route = 'slow' THEN coalesce(docs, 0) ELSE 0 END)::BIGINT AS n_docs FROM r LEFT JOIN n ON r.page_id = n.page_id GROUP BY route""")
+_STATS = f"""{_BASE}, n AS (SELECT page_id, count(*) AS n, count(*) FILTER (ends_with(lower(link), 'the')) AS docs FROM links GROUP BY 1),
+st AS (SELECT route, count(*)::BIGINT AS n_pages, (sum(size) // count(*))::BIGINT AS avg_us, sum(coalesce(n, 0))::BIGINT AS n_links, sum(CASE WHEN route = 'slow' THEN coalesce(docs, 0) ELSE 0 END)::BIGINT AS n_docs FROM r LEFT JOIN n ON r.page_id = n.page_id GROUP BY route)"""
+
+
+@query(f"{_STATS} SELECT * FROM st")
 def path_stats(spark, d):
     """Sizes stand for the microseconds of a page."""
     return extract.path_stats(pages(spark, d).withColumn("us", F.col("size")), ("the",))
 
 
+@query(f"{_STATS} SELECT printf('%s path: %d pages, %d us on average, %d links, %d documents', route, n_pages, avg_us, n_links, n_docs) AS line FROM st")
+def path_lines(spark, d):
+    return monitor.path_lines(path_stats(spark, d))
+
+
 # Every seventh page is nested deeper than the parser's stack.
 @query("SELECT count(*)::BIGINT AS panics FROM pages WHERE page_id % 7 = 0")
 def panic_count(spark, d):

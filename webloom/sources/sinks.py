@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
@@ -26,3 +29,33 @@ def collisions(named: DataFrame) -> DataFrame:
 def write_documents(df: DataFrame, path: str) -> None:
     """Successful downloads (status 200) as (filename, url, content), partitioned for later extraction."""
     document_names(df.where("status = 200")).select("filename", "url", "content").write.mode("overwrite").parquet(path)
+
+
+def write_files(df: DataFrame, folder: str, order: Column | None = None) -> DataFrame:
+    """Successful downloads as files of ``folder``, a URI that all executors reach; (filename, url, bytes) of each.
+
+    Of the URLs that get one name the last in ``order`` (by default in that of the URLs) is written: it would have
+    overwritten the others. A file is written under a name of its own and moved, so that a task may run twice.
+    """
+    named = document_names(df.where("status = 200")).withColumn("_order", F.col("url") if order is None else order)
+    last = named.groupBy("filename").agg(F.max_by(F.struct("url", "content"), F.struct("_order", "url")).alias("x")).select("filename", "x.url", "x.content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, content in zip(batch.column("filename"), batch.column("content"), strict=True):
+                own = f"{top}/._{uuid.uuid4().hex}"
+                raw = content.as_buffer() if content.is_valid else pa.py_buffer(b"")
+                with store.open_output_stream(own) as out:
+                    out.write(raw)
+                store.move(own, f"{top}/{name.as_py()}")
+                sizes.append(raw.size)
+            yield pa.RecordBatch.from_arrays([batch.column("filename"), batch.column("url"), pa.array(sizes, pa.int64())], ["filename", "url", "bytes"])
+
+    return last.mapInArrow(run, "filename string, url string, bytes long")
