@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from webloom.llm.common import fresh, quoted
 
 #: Entries of each worker's cache of encoded pre-tokens, at most; and the longest pre-token that is kept.
-CACHED, CACHED_CHARS = 200_000, 64
+CACHED, CACHED_CHARS = 300_000, 64
 _BITS = 8
 _MASK = (1 << _BITS) - 1
 _BIT = [1 << i for i in range(1 << _BITS)]
