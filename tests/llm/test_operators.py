@@ -202,15 +202,26 @@ def test_classifiers_in_any_layout(spark):
         assert table(spark, []).select(module.score(docs, clean)).count() == 0
 
 
-def test_toxicity_against_one_process(spark):
+def toxic_corpus(words_, many, long):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(words_)]
+    return [(i, " ".join([*rng.choices(vocabulary, k=long), *(["scum"] if i % 3 == 0 and i % 7 else [])])) for i in range(many)]
+
+
+@pytest.mark.parametrize(("words_", "many", "long", "features"), [(4, 150, 12, 40), (2500, 500, 40, 600)])
+def test_toxicity_against_one_process(spark, monkeypatch, words_, many, long, features):
     """Counts, the choice of features, scaling and the fit, made again in plain numpy from whole texts."""
     import numpy as np
 
-    rng = random.Random(21)
-    rows = [(i, " ".join([*(rng.choice(["river", "stone", "walk", "light"]) for _ in range(12)), *(["scum"] if i % 3 == 0 else [])])) for i in range(150)]
+    rows = toxic_corpus(words_, many, long)
     docs = table(spark, rows)
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels, features=40)
+    model = toxicity.fit(docs, labels, features=features)
+    # How rows are dealt to tasks changes no bit, rare n-grams included; nor do repeated rows.
+    for tasks, order in ((1, 1), (3, -1), (8, -1)):
+        monkeypatch.setattr(toxicity, "TRAIN_TASKS", tasks)
+        again = toxicity.fit(table(spark, rows[::order] + rows[:5] * tasks), labels, features=features)
+        assert again.ids.tolist() == model.ids.tolist() and again.weights.tolist() == model.weights.tolist() and again.bias == model.bias
     held = {r.doc_id for r in docs.where(labelled.held_out(F.col("doc_id"))).collect()}
     train = [(t, int(i % 3 == 0)) for i, t in rows if i not in held]
     has = [set(np.concatenate([h for h, _ in toxicity.ngrams([t.encode()])]).tolist()) for t, _ in train]
@@ -220,7 +231,7 @@ def test_toxicity_against_one_process(spark):
         for h in some:
             count.setdefault(h, [0, 0])[y] += 1
     chi = {h: ((p * (n0 - q) - q * (n1 - p)) ** 2 / ((p + q) * (n1 + n0 - p - q + 1)), -h) for h, (q, p) in count.items() if p + q >= toxicity.MIN_DOCS}
-    ids = sorted(sorted(chi, key=chi.get, reverse=True)[:40])
+    ids = sorted(sorted(chi, key=chi.get, reverse=True)[:features])
     ratio = np.array([np.log((count[h][1] + 1) / (n1 + 1)) - np.log((count[h][0] + 1) / (n0 + 1)) for h in ids])
     x, y = np.array([[h in some for h in ids] for some in has], float), np.array([y for _, y in train], float)
     w, b = np.ones(len(ids)) * 0.1, np.array([np.log(n1 / n0)])
@@ -235,6 +246,21 @@ def test_toxicity_against_one_process(spark):
         assert abs(got[i] - labelled.sigmoid(np.array([z]))[0]) < 1e-6
 
 
+def test_training_rows(spark):
+    """One row of an id however often it comes, never more than asked for, ids of any type, the same rows in any layout."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)] + [(3, 0), (7, 1), (9, None), (None, 1)], "doc_id long, toxic int")
+    rows = [(i, f"text {i}") for i in range(500)] + [(11, f"other {k}") for k in range(1000)] + [(12, "text 12")] * 1000 + [(None, "x"), (13, None)]
+    got = labelled.training_rows(table(spark, rows), labels, "toxic").collect()
+    held = {r.id for r in spark.range(500).where(labelled.held_out(F.col("id"))).collect()}
+    assert sorted(int(r.id) for r in got) == [i for i in range(500) if i not in held and i != 3]
+    some = labelled.training_rows(table(spark, rows), labels, "toxic", rows=50).collect()
+    assert len(some) == 50 and set(some) <= set(got)
+    assert set(labelled.training_rows(table(spark, rows[::-1]).repartition(3), labels.repartition(5), "toxic", rows=50).collect()) == set(some)
+    text = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    named = labelled.training_rows(text(table(spark, rows)), text(labels), "toxic").collect()
+    assert len(named) > 350 and all(r.id.startswith("d") for r in named)
+
+
 def test_word_vectors_against_one_process(spark):
     import numpy as np
 

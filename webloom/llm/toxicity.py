@@ -20,6 +20,9 @@ from webloom.llm.common import Scratch, quoted
 from webloom.llm.labelled import TRAIN_ROWS, TRAIN_TASKS, Adam, sigmoid, training_rows
 
 NGRAMS, BITS = (4, 6), 22
+#: Parts of the table of counts, in which tasks send it on and add it up.
+SLICES = 64
+SLICE = (1 << BITS) // SLICES
 #: Features of the model at most, and documents that must have one.
 FEATURES, MIN_DOCS = 3000, 8
 _TABLE = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -68,8 +71,27 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for y in (0, 1):
                 np.add.at(seen[y], h[some[of] == y], 1)
                 docs[y] += int((some == y).sum())
-    at = np.flatnonzero(seen.sum(0) > 1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[1][at], docs[1]).astype(np.int64)), pa.array(np.append(seen[0][at], docs[0]).astype(np.int64))], ["h", "pos", "neg"])
+    # Every count goes on, those of one document too: only their sums over all tasks say which n-grams are rare.
+    for k in range(SLICES):
+        part = seen[:, k * SLICE : (k + 1) * SLICE]
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([int(docs[y]) * (not k)], pa.int64()) for y in (1, 0)), *(pa.array([part[y].tobytes()], pa.binary()) for y in (1, 0))], ["slice", "n1", "n0", "pos", "neg"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, pos, neg) of the buckets that MIN_DOCS documents have, from all tasks' counts of a slice; documents at -1."""
+    sums: dict[int, np.ndarray] = {}
+    docs = np.zeros(2, np.int64)
+    for batch in batches:
+        for k, n1, n0, pos, neg in zip(*(c if i > 2 else c.to_pylist() for i, c in enumerate(batch.columns)), strict=True):
+            docs += (n1, n0)
+            sums.setdefault(k, np.zeros((2, SLICE), np.int32))
+            for y, raw in enumerate((pos, neg)):
+                sums[k][y] += np.frombuffer(raw.as_buffer(), np.int32)
+    for k, both in sums.items():
+        at = np.flatnonzero(both.sum(0) >= MIN_DOCS)
+        yield pa.RecordBatch.from_arrays([pa.array(at + k * SLICE), *(pa.array(both[y][at].astype(np.int64)) for y in (0, 1))], ["h", "pos", "neg"])
+    if docs.any():
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), *(pa.array([int(n)]) for n in docs)], ["h", "pos", "neg"])
 
 
 def _presence(chosen):
@@ -78,7 +100,7 @@ def _presence(chosen):
         slot[chosen.value] = np.arange(len(chosen.value))
         for batch in batches:
             out = [x.tolist() for texts in words.in_parts(batch.column(1), 64) for x in present(texts, slot)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), batch.column(2).cast(pa.int32())], ["id", "x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(2).cast(pa.int32())], ["x", "label"])
 
     return run
 
@@ -98,14 +120,15 @@ def present(texts: list[bytes], slot: np.ndarray) -> list[np.ndarray]:
 def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, features: int = FEATURES, penalty: float = 1e-4) -> Model:
     """The model of up to ``rows`` labelled documents that are not held out.
 
-    Counts are made in the tasks; the driver gets the ``features`` buckets that tell the classes apart best, chosen
-    in the tasks too, and which of them each sampled document has (``rows`` lists of ``features`` numbers at most). With no document of one class the model is
-    constant. Ids with both labels are left out. The order of rows changes nothing.
+    Counts are made and added up in the tasks, as tables of fixed size; the driver gets the ``features`` buckets that
+    tell the classes apart best, chosen in the tasks too, and which of them each sampled document has (``rows`` lists
+    of ``features`` numbers at most). With no document of one class the model is constant. Ids with both labels are
+    left out, and an id that is repeated counts once. Neither the order of rows nor how they are dealt changes a bit.
     """
     own = Scratch(df.sparkSession, "toxicity")
     train = training_rows(df, labels, label, doc_id, text, rows).repartition(TRAIN_TASKS).persist()
     try:
-        counts = train.mapInArrow(_counts, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
+        counts = train.mapInArrow(_counts, "slice int, n1 long, n0 long, pos binary, neg binary").repartition("slice").mapInArrow(_summed, "h long, pos long, neg long").persist()
         docs = counts.where("h = -1").first()
         n1, n0 = (docs["pos"], docs["neg"]) if docs else (0, 0)
         none = np.zeros(0, np.int64)
@@ -115,18 +138,18 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "d
         p, q = F.col("pos").cast("double"), F.col("neg").cast("double")
         gap = p * (n0 - q) - q * (n1 - p)
         score = gap * gap / ((p + q) * (n1 + n0 - p - q + 1))
-        best = counts.where((F.col("h") >= 0) & (p + q >= MIN_DOCS)).select("h", "pos", "neg", score.alias("score")).orderBy(F.desc("score"), "h").limit(features)
+        best = counts.where("h >= 0").select("h", "pos", "neg", score.alias("score")).orderBy(F.desc("score"), "h").limit(features)
         # Written, not collected: a collected limit brings that many rows of each partition to the driver.
         best = own.save(best, "best").orderBy("h").toPandas()
         own.drop("best")
         ids = best["h"].to_numpy(np.int64)
         ratio = np.log((best["pos"].to_numpy() + 1.0) / (n1 + 1)) - np.log((best["neg"].to_numpy() + 1.0) / (n0 + 1))
-        found = train.mapInArrow(_presence(df.sparkSession.sparkContext.broadcast(ids)), "id long, x array<int>, label int").toArrow()
+        found = train.mapInArrow(_presence(df.sparkSession.sparkContext.broadcast(ids)), "x array<int>, label int").toArrow()
         counts.unpersist()
     finally:
         train.unpersist()
     # Rows come in any order; sums must not depend on it.
-    found = found.take(pa.array(sorted(range(len(found)), key=list(zip(found["id"].to_pylist(), found["x"].to_pylist(), strict=True)).__getitem__), pa.int64()))
+    found = found.take(pa.array(sorted(range(len(found)), key=list(zip(found["label"].to_pylist(), found["x"].to_pylist(), strict=True)).__getitem__), pa.int64()))
     x = found["x"].combine_chunks()
     at, row = x.values.to_numpy(), np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy()))
     y = found["label"].to_numpy().astype(float)
