@@ -545,7 +545,7 @@ def test_queries_match_their_sql(spark):
     import duckdb
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, sf)
