@@ -135,17 +135,18 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     body = F.coalesce(F.col(quoted(html)).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(quoted(page_id)).cast("long").alias("id"), F.col(quoted(url)).cast("string").alias("uri"), body.alias("body"), F.sha2(body, 256).alias("digest"))
     copies = rows.where(F.octet_length("body") >= least).groupBy("digest").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "uri"))).alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    copies = copies.select(F.col("digest").alias("same"), "first")
+    # Written first: a join of two plain shuffles is split where one payload holds many rows.
+    own = Scratch(pages.sparkSession, "warc-manifest")
+    copies = own.save(copies.select(F.col("digest").alias("same"), "first"), "copies")
     told = rows.join(copies, rows["digest"] == copies["same"], "left")
     other = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
     told = told.select("id", "uri", "body", "digest", F.when(other, F.col("first.id")).alias("first"), F.when(other, F.col("first.uri")).alias("first_uri"))
-    own = Scratch(pages.sparkSession, "warc-manifest")
     top = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
     store = top.getFileSystem(pages.sparkSession._jsparkSession.sessionState().newHadoopConf())
     store.mkdirs(top)
     manifest = own.save(told.mapInArrow(_written(folder, date, zipped, roll), "written string, file string, bytes long, records long"), "written")
     done = own.save(manifest.mapInArrow(_moved(folder), "file string, bytes long, records long"), "files")
-    own.drop("written")
+    own.drop("written", "copies")
     store.delete(pages.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/_attempts"), True)
     return done
 
@@ -411,5 +412,6 @@ def resolved(scanned: DataFrame) -> DataFrame:
     )
     got = own.save(got, "read")
     answers = got.where("record_type = 'response'").groupBy(F.col("record_id").alias("answer")).agg(F.min("page_id").alias("of"), F.min("bytes").alias("of_bytes"), F.min("digest").alias("of_digest"))
+    answers = own.save(answers, "answers")  # as above: the revisits of one response may be many
     both = got.join(answers, (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("answer")), "left")
     return both.select("page_id", "record_type", F.coalesce("of_bytes", "bytes").alias("payload_bytes"), F.coalesce("of_digest", "digest").alias("payload_digest"), F.col("of").alias("refers_to"), ((F.col("record_type") == "response") | F.col("answer").isNotNull()).alias("found"))
