@@ -413,5 +413,6 @@ def resolved(scanned: DataFrame) -> DataFrame:
     got = own.save(got, "read")
     answers = got.where("record_type = 'response'").groupBy(F.col("record_id").alias("answer")).agg(F.min("page_id").alias("of"), F.min("bytes").alias("of_bytes"), F.min("digest").alias("of_digest"))
     answers = own.save(answers, "answers")  # as above: the revisits of one response may be many
-    both = got.join(answers, (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("answer")), "left")
-    return both.select("page_id", "record_type", F.coalesce("of_bytes", "bytes").alias("payload_bytes"), F.coalesce("of_digest", "digest").alias("payload_digest"), F.col("of").alias("refers_to"), ((F.col("record_type") == "response") | F.col("answer").isNotNull()).alias("found"))
+    own_rows = got.where("record_type = 'response'").select("page_id", "record_type", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("found"))
+    both = got.where("record_type = 'revisit'").join(answers, F.col("refers_to") == F.col("answer"), "left")
+    return own_rows.unionByName(both.select("page_id", "record_type", F.coalesce("of_bytes", "bytes").alias("payload_bytes"), F.coalesce("of_digest", "digest").alias("payload_digest"), F.col("of").alias("refers_to"), F.col("answer").isNotNull().alias("found")))
