@@ -198,11 +198,11 @@ def edges_in_corpus(spark, d):
 
 
 @query(f"""WITH RECURSIVE raws AS (SELECT page_id, raw FROM (SELECT page_id, regexp_replace(unnest(regexp_extract_all(html, '(?i)href=("[^"]*|''[^'']*|[^ >]*)', 1)), '^["'']', '') AS raw FROM pages) WHERE raw <> '' AND NOT regexp_matches(raw, '^(#|javascript:|mailto:)')),
-b(url, depth) AS (SELECT {_norm('url')}, 0 FROM pages UNION SELECT {_norm(f"({_ABS})")}, depth + 1 FROM b JOIN raws ON raws.page_id = {_served('url')} WHERE depth < 2)
+b(url, depth) AS (SELECT {_norm('url')}, 0 FROM pages UNION SELECT {_norm(f"({_ABS})")}, depth + 1 FROM b JOIN raws ON raws.page_id = {_served('url')} WHERE depth < 5)
 SELECT url, min(depth)::INTEGER AS depth FROM b GROUP BY url""")
 def crawl_pages(spark, d):
     p = pages(spark, d)
-    return crawl.crawl(p.select("url"), crawl.from_table(p), 2)
+    return crawl.crawl(p.select("url"), crawl.from_table(p), 5)
 
 
 # A chain longer than the depth limit, a cycle, a diamond and a self-link, hung on the customers' nations.

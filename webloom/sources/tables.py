@@ -37,10 +37,37 @@ def interfaces(df: DataFrame) -> DataFrame:
     return known.withColumn("ip", F.coalesce(ip, F.lit(""))).where((F.col("ip") != "") | F.col("is_up")).withColumn("is_active", F.col("is_up") & F.col("is_running"))
 
 
+class Folder:
+    """Tables of one job in a folder of its own below spark.checkpoint.dir, which all executors share: lineage ends there."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        self.spark, self.key = spark, uuid.uuid4().hex
+        self.path = f"{top.rstrip('/')}/{name}-{self.key}"
+
+    def save(self, df: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
+        """Writes ``df`` as table ``name`` and reads it."""
+        df.write.mode(mode).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def bucketed(self, df: DataFrame, name: str, key: str, n: int, *parts: str) -> DataFrame:
+        """Appends ``df`` to table ``name``, dealt to ``n`` buckets by ``key``: joins on it read the table in place, unshuffled."""
+        writer = df.write.mode("append").bucketBy(n, key).option("path", f"{self.path}/{name}")
+        (writer.partitionBy(*parts) if parts else writer).saveAsTable(self.table(name))
+        return self.spark.table(self.table(name))
+
+    def table(self, name: str) -> str:
+        """What the catalog calls a bucketed table."""
+        return f"webloom_{self.key}_{name}"
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more; without names, all."""
+        for name in names or ("",):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table(name)}") if name else None
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` below spark.checkpoint.dir (shared by all executors) and reads it: lineage ends there."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Writes ``df`` below spark.checkpoint.dir and reads it: lineage ends there."""
+    return Folder(df.sparkSession, name).save(df, "rows")
