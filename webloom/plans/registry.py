@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from webloom.functions import figures, urls
 from webloom.operators import crawl, extract, frontier, monitor, network, routing, scheduler
-from webloom.sources import sinks, tables
-from webloom.sources.tables import pages, read
-from webloom.streaming import streams
+from webloom.sources import documents, mirror, sinks, tables
+from webloom.sources.tables import Folder, pages, read
+from webloom.streaming import retries, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -382,6 +382,30 @@ def stream_retries(spark, d):
     return streams.drained(streams.retry_states(tasks, "ts", "event_id"))
 
 
+# Each user's events one after the other: tries so far, when the next is due, until when the URL counts as downloaded.
+# Of what is due behind the last event the watermark, an hour before the last event of all, decides.
+@query("""WITH RECURSIVE e AS (SELECT 'u' || user_id AS url, epoch_us(ts) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (
+  SELECT url, 0::BIGINT AS k, 0 AS tries, NULL::BIGINT AS due, NULL::BIGINT AS rest, NULL::BIGINT AS t, NULL::BIGINT AS retried, NULL::BIGINT AS lost, 0 AS before, NULL::VARCHAR AS ended, 0 AS made FROM (SELECT DISTINCT url FROM e)
+  UNION ALL
+  SELECT url, k, CASE WHEN idle THEN tries WHEN ok OR n > 3 THEN 0 ELSE n END, CASE WHEN idle THEN due WHEN ok OR n > 3 THEN NULL ELSE t + n * 300000 END, CASE WHEN idle THEN rest WHEN ok THEN t + 86400000000 END, t,
+    CASE WHEN due <= t THEN due END, CASE WHEN due + 86400000000 <= t THEN due + 86400000000 END, tries, CASE WHEN idle THEN NULL WHEN ok THEN 'downloaded' WHEN n > 3 THEN 'failed' END, n
+  FROM (SELECT s.url, e.k, s.tries, s.due, s.rest, e.t, e.ok, coalesce(e.t < s.rest, false) OR coalesce(e.t < s.due, false) AS idle, CASE WHEN s.due + 86400000000 <= e.t THEN 1 ELSE s.tries + 1 END AS n
+    FROM s JOIN e ON e.url = s.url AND e.k = s.k + 1)),
+w AS (SELECT (max(t) // 1000 - 3600000) * 1000 AS mark FROM e),
+z AS (SELECT url, tries, due FROM s QUALIFY k = max(k) OVER (PARTITION BY url)),
+o AS (SELECT url, 'retry' AS event, before AS tries, retried AS t FROM s WHERE retried IS NOT NULL
+  UNION ALL SELECT url, 'lost', before, lost FROM s WHERE lost IS NOT NULL
+  UNION ALL SELECT url, ended, made, t FROM s WHERE ended IS NOT NULL
+  UNION ALL SELECT url, 'retry', tries, due FROM z, w WHERE due < mark
+  UNION ALL SELECT url, 'lost', tries, due + 86400000000 FROM z, w WHERE due + 86400000000 < mark)
+SELECT url, event, tries::INTEGER AS tries, make_timestamp(t) AS happened FROM o""")
+def stream_retry_timers(spark, d):
+    tasks = streams.events(spark, d).select(F.concat(F.lit("u"), "user_id").alias("url"), "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
+    with retries.timed_state(spark):
+        return streams.drained(retries.retries(tasks, "ts", "event_id"))
+
+
 @query(f"SELECT page_id, {_SCHEME} || '://' || {_HOST} || '/files/r' || page_id || '.pdf' AS url, '.pdf' AS extension, 'the report' AS title, 'Get the report now.' AS context, url AS page_url FROM pages")
 def slow_documents(spark, d):
     made = read(spark, d, "pages").select("page_id", "url", F.concat(F.lit("<p>Get <a href='/files/r"), "page_id", F.lit(".pdf'>the <b>report</b></a> now.</p>"), "html").alias("html"), F.lit(1).cast("long").alias("size"))
@@ -534,3 +558,24 @@ def interface_source(spark, d):
 @query("SELECT event_id, coalesce(try_cast(regexp_extract(json_extract_string(props, '$.k'), '^\\s*([+-]?[0-9]+)', 1) AS INTEGER), 0) AS depth FROM events")
 def depth_codec(spark, d):
     return read(spark, d, "events").select("event_id", urls.depth(F.get_json_object("props", "$.k")).alias("depth"))
+
+
+# A mirror of the pages, scanned with a cap of 2,000 bytes a body; 500 characters of a body are never cut.
+@query(f"SELECT page_id, lower({_HOST}) AS host, least(octet_length(encode(html)), 2000)::BIGINT AS size, octet_length(encode(html)) > 2000 AS cut, md5(left(html, 500)) AS head FROM pages")
+def page_scan(spark, d):
+    folder = Folder(spark, "mirror").path
+    mirror.mirror(read(spark, d, "pages"), folder, 16)
+    return mirror.scan(spark, folder, max_body=2000).select("page_id", "host", "size", "cut", F.md5(F.left("html", F.lit(500)).cast("binary")).alias("head"))
+
+
+# Two jobs write the links that have a file name: those of even pages, then those of odd ones; names collide in each and across.
+@query(f"""{_BASE}, n AS (SELECT DISTINCT page_id % 2 AS job, link AS url FROM links), m AS (SELECT job, url, {_NAME} AS filename FROM n),
+w AS (SELECT filename, job, max(url) AS url FROM m WHERE contains(filename, '.') GROUP BY 1, 2)
+SELECT filename, arg_max(url, job) AS url, octet_length(encode(arg_max(url, job)))::BIGINT AS bytes FROM w GROUP BY 1""")
+def document_sink(spark, d):
+    folder = Folder(spark, "documents").path
+    links = extract.fast_links(pages(spark, d)).select("page_id", F.col("link").alias("url")).where(~urls.filename(F.col("link")).startswith("download_"))
+    for job in (0, 1):
+        some = links.where(F.col("page_id") % 2 == job).select("url").distinct()
+        documents.save(some.select("url", F.lit(200).alias("status"), F.col("url").cast("binary").alias("content")), folder)
+    return documents.read(spark, folder).select("filename", F.col("content").cast("string").alias("url"), F.octet_length("content").cast("long").alias("bytes"))
