@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import figures, urls
 from webloom.functions.resolve import resolve
-from webloom.operators import crawl, extract, frontier, monitor, network, routing, scheduler
+from webloom.operators import crawl, extract, frontier, monitor, network, routing, scheduler, structure
 from webloom.plans import registry
 from webloom.sources import sinks, tables
 from webloom.streaming import streams
@@ -70,9 +70,9 @@ def test_resolve():
 
 
 def test_quarantine_and_outer_links(spark):
-    deep = "<b>" * (extract.NESTING + 5)
+    deep = "<b>" * (structure.NESTING + 5)
     pages = spark.createDataFrame([(1, "https://h.com/?x", deep + '<a href="/a">', 5), (2, "https://h.com/?y", '<a href="/a"><a href="/b">', 5), (3, "https://h.com/z", "none", 5), (4, "https://h.com/z?", None, 0)], "page_id long, url string, html string, size long")
-    assert [tuple(r) for r in extract.quarantined(extract.analyzed(pages)).collect()] == [(1, "https://h.com/?x")]
+    assert [tuple(r) for r in extract.quarantined(extract.analyzed(pages)).collect()] == [(1, "https://h.com/?x", "TooDeep: elements nested too deep")]
     got = sorted(map(tuple, extract.two_tier_links(pages, outer=True).select("page_id", "route", "pos", "link").collect()), key=str)
     assert got == sorted([(1, "slow", None, None), (2, "slow", 0, "https://h.com/a"), (2, "slow", 1, "https://h.com/b"), (3, "fast", None, None), (4, "fast", None, None)], key=str)
     assert extract.two_tier_links(pages).count() == 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from urllib.parse import quote, unquote_to_bytes
 
 _SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.\-]*):(.*)", re.S)
@@ -53,6 +54,10 @@ def parsed(url: str) -> tuple[str, str | None, str, str | None, str | None, str
     return scheme, authority, encoded_path(rest), asked, said, None
 
 
+#: A page's own URL is the base of all its links.
+_parsed_base = lru_cache(maxsize=64)(parsed)
+
+
 def without_dots(path: str) -> str:
     """The path from its root, its . and .. worked off."""
     if not path:
@@ -73,7 +78,7 @@ def resolve(base: str, href: str) -> str | None:
     """``href`` as seen from ``base``, as a URL; None where either does not parse."""
     try:
         scheme, authority, path, query, fragment, opaque = parsed(href)
-        own, own_authority, own_path, own_query, own_fragment, _ = parsed(base)
+        own, own_authority, own_path, own_query, own_fragment, _ = _parsed_base(base)
     except Unparsable:
         return None
     if opaque is not None:

@@ -1,13 +1,13 @@
 """Link, document and metadata extraction.
 
 The cheap path is Catalyst only. The thorough path needs HTML semantics (nesting, entities, text of a subtree) and
-runs the standard library's parser over Arrow batches, on the pages routed to it alone.
+runs over Arrow batches (see ``structure``), on the pages routed to it alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from webloom.config import DEFAULT
 from webloom.functions import figures, urls
 from webloom.functions.resolve import resolve
+from webloom.operators import structure
 from webloom.operators.routing import routed
 
 
@@ -31,104 +32,28 @@ def fast_links(pages: DataFrame) -> DataFrame:
     return each.withColumn("link", urls.make_absolute(F.col("raw"), F.col("url")))
 
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-_BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
-
-
-#: Elements that may stand inside each other; deeper pages are given up, as a parser with a bounded stack does.
-NESTING = 512
-
-
-class Page(HTMLParser):
-    """Links with their text and their parent's text, title, description and whether there is a nav."""
-
-    def __init__(self, html: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.texts: list[str] = []
-        self.open: list[tuple[str, int, dict | None, list[dict]]] = []  # tag, first text, link, links right inside
-        self.links: list[dict] = []
-        self.title: str | None = None
-        self.description: str | None = None
-        self.nav = False
-        self.open.append(("", 0, None, []))
-        self.feed(html)
-        self.close()
-        while self.open:
-            self._end()
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        closes = _CLOSES.get(tag, {"p"} if tag in _BLOCKS else set())
-        while self.open[-1][0] in closes:
-            self._end()
-        if tag == "a" and any(x[0] == "a" for x in self.open):
-            self.handle_endtag("a")
-        given = dict(reversed(attrs))
-        link = None
-        if tag == "a" and "href" in given:
-            link = {"href": given["href"] or "", "text": "", "context": ""}
-            self.links.append(link)
-            self.open[-1][3].append(link)
-        elif tag == "meta" and given.get("name") == "description" and self.description is None:
-            self.description = given.get("content") or ""
-        elif tag == "nav":
-            self.nav = True
-        if tag not in _VOID:
-            if len(self.open) > NESTING:
-                raise RecursionError("elements nested too deep")
-            self.open.append((tag, len(self.texts), link, []))
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        if any(x[0] == tag for x in self.open[1:]):
-            while self.open[-1][0] != tag:
-                self._end()
-            self._end()
-
-    def handle_data(self, data: str) -> None:
-        self.texts.append(data)
-
-    def _end(self) -> None:
-        tag, first, link, inside = self.open.pop()
-        if link is None and not inside and tag != "title":
-            return
-        text = "".join(self.texts[first:])
-        if tag == "title" and self.title is None:
-            self.title = text
-        if link is not None:
-            link["text"] = text
-        raw = text.encode()
-        context = (raw[:200].decode(errors="replace") + "..." if len(raw) > 200 else text).strip()
-        for x in inside:
-            x["context"] = context
-
-
 def dotted(url: str) -> str:
     """As functions.urls.extension."""
     return "." + url.rsplit(".", 1)[1].split("?", 1)[0] if "." in url else ""
 
 
-SLOW = "page_id long, url string, links array<string>, documents array<struct<url:string,extension:string,title:string,context:string>>, title string, description string, has_nav boolean, size long, failed boolean"
+_FOUND = "links array<string>, documents array<struct<url:string,extension:string,title:string,context:string>>, title string, description string, has_nav boolean, reason string, us long"
+SLOW = f"page_id long, url string, size long, {_FOUND}"
+_NAMES = ["links", "documents", "title", "description", "has_nav", "reason", "us"]
+_KINDS = (pa.list_(pa.string()), pa.list_(pa.struct([(n, pa.string()) for n in ("url", "extension", "title", "context")])), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64())
+#: Pages and bytes that are parsed at once; a longer page is parsed alone.
+PAGES, BYTES = 256, 4 << 20
 
 
-def analyzed(pages: DataFrame, extensions: Sequence[str] = DEFAULT.extensions, contains: bool = False) -> DataFrame:
-    """One row per page by the thorough path; a page that cannot be parsed gets empty values and ``failed``.
-
-    ``contains`` finds documents by the single-tier rule (an extension before ? or & too).
-    """
+def _analyzer(extensions: Sequence[str], contains: bool) -> Callable[[pa.Array, pa.Array], list[pa.Array]]:
+    """Of (urls, htmls) the columns _NAMES; null for a null html."""
     wanted = tuple(extensions)
 
     def is_document(url: str) -> bool:
         low = url.lower()
-        return any(low.endswith(e) or contains and (e + "?" in low or e + "&" in low) for e in wanted)
+        return low.endswith(wanted) or contains and any(e + "?" in low or e + "&" in low for e in wanted)
 
-    def one(url: str, html: str) -> tuple:
-        try:
-            page = Page(html)
-        except Exception:  # noqa: BLE001  a page that breaks the parser is a row of its own, not a failed task
-            return [], [], "", "", False, True
+    def one(url: str, page: structure.Tree) -> tuple:
         links, documents = [], []
         for x in page.links:
             href = x["href"]
@@ -137,19 +62,91 @@ def analyzed(pages: DataFrame, extensions: Sequence[str] = DEFAULT.extensions, c
             links.append(link)
             if is_document(link):
                 documents.append({"url": link, "extension": dotted(link), "title": x["text"], "context": x["context"]})
-        return links, documents, page.title or "", page.description or "", page.nav, False
+        return links, documents, page.title or "", page.description or "", page.nav, None
+
+    def some(urls_: list[str], htmls: list[bytes]) -> Iterator[tuple]:
+        """A page's time is its own, and its share by size of what is done for all at once."""
+        began = time.perf_counter_ns()
+        trees = structure.parsed(htmls)
+        shared, total, own = 0, sum(map(len, htmls)) or 1, began
+        for n, (url, html, (page, fault)) in enumerate(zip(urls_, htmls, trees, strict=True)):
+            found = one(url, page) if page is not None else ([], [], "", "", False, f"{type(fault).__name__}: {fault}")
+            now = time.perf_counter_ns()
+            if n == 0:
+                shared = now - own
+                spent = shared * len(html) / total
+            else:
+                spent = now - own + shared * len(html) / total
+            own = time.perf_counter_ns()
+            yield *found, max(1, round(spent / 1000))
+
+    def run(urls_: pa.Array, htmls: pa.Array) -> list[pa.Array]:
+        at = [i for i, ok in enumerate(htmls.is_valid().to_pylist()) if ok]
+        names, bodies = urls_.take(pa.array(at, pa.int64())).fill_null("").to_pylist(), htmls.take(pa.array(at, pa.int64())).cast(pa.binary()).to_pylist()
+        rows, first, size = [], 0, 0
+        for i, body in enumerate(bodies):
+            if i > first and (i - first >= PAGES or size + len(body) > BYTES):
+                rows += some(names[first:i], bodies[first:i])
+                first, size = i, 0
+            size += len(body)
+        rows += some(names[first:], bodies[first:])
+        back = {place: row for place, row in zip(at, rows, strict=True)}
+        return [pa.array([back[i][k] if i in back else None for i in range(len(htmls))], kind) for k, kind in enumerate(_KINDS)]
+
+    return run
+
+
+def analyzed(pages: DataFrame, extensions: Sequence[str] = DEFAULT.extensions, contains: bool = False) -> DataFrame:
+    """One row per page by the thorough path; a page that cannot be parsed gets empty values, ``failed`` and a reason.
+
+    ``contains`` finds documents by the single-tier rule (an extension before ? or & too). ``us`` is how long the
+    page took, in microseconds.
+    """
+    find = _analyzer(extensions, contains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc = pa.list_(pa.struct([(n, pa.string()) for n in ("url", "extension", "title", "context")]))
-        kinds = (pa.list_(pa.string()), doc, pa.string(), pa.string(), pa.bool_(), pa.bool_())
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                b = batch.slice(a, 256)
-                rows = [one(u or "", h or "") for u, h in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True)]
-                links, docs, title, description, nav, failed = (pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), links, docs, title, description, nav, b.column("size"), failed], ["page_id", "url", "links", "documents", "title", "description", "has_nav", "size", "failed"])
+            for a in range(0, batch.num_rows, 4 * PAGES):
+                b = batch.slice(a, 4 * PAGES)
+                yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], b["size"], *find(b["url"], b["html"].fill_null(""))], ["page_id", "url", "size", *_NAMES])
+
+    return pages.select("page_id", "url", "html", "size").mapInArrow(run, SLOW).withColumn("failed", F.col("reason").isNotNull())
+
 
-    return pages.select("page_id", "url", "html", "size").mapInArrow(run, SLOW)
+def _nanos(after: Column) -> Column:
+    """The clock of the machine that computes the row, read after ``after`` is known."""
+    return after * 0 + F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+
+
+def extracted(pages: DataFrame, extensions: Sequence[str] = DEFAULT.extensions, timed: bool = False) -> DataFrame:
+    """(page_id, url, size, route, links, documents, title, description, has_nav, reason, us) of each page, in one pass.
+
+    Each page goes by the path that it is routed to: the parser gets null for the others, so that neither their text
+    leaves the JVM nor the table is read twice. ``us`` is how long the page took on its path, in microseconds; for
+    the cheap path only if ``timed``, as reading the clock for each row costs it its generated code.
+    """
+    find = _analyzer(extensions, False)
+
+    @F.arrow_udf(f"struct<{_FOUND.replace(' array', ':array').replace(' string', ':string').replace(' boolean', ':boolean').replace(' long', ':long')}>")
+    def thorough(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for urls_, htmls in batches:
+            yield pa.StructArray.from_arrays(find(urls_, htmls), _NAMES)
+
+    fast = F.col("route") == "fast"
+    rows = routed(pages)
+    rows = rows.withColumn("_began", _nanos(F.col("size"))) if timed else rows
+    rows = rows.select("page_id", "url", "size", "route", *(["_began"] if timed else []), F.when(fast, raw_links(F.col("html"))).alias("_raw"), F.when(~fast, F.coalesce("html", F.lit(""))).alias("_html"))
+    taken = F.lit(None).cast("long")
+    if timed:
+        rows = rows.withColumn("_ended", _nanos(F.coalesce(F.size("_raw"), F.lit(0)) + F.col("_began") * 0))
+        taken = F.greatest(F.lit(1), F.round((F.col("_ended") - F.col("_began")) / 1000)).cast("long")
+    both = rows.withColumn("_slow", thorough("url", "_html"))
+    mine = lambda name, other: F.when(fast, other).otherwise(F.col(f"_slow.{name}")).alias(name)
+    links = F.transform("_raw", lambda raw: urls.make_absolute(raw, F.col("url")))
+    return both.select(
+        "page_id", "url", "size", "route", mine("links", links), mine("documents", F.array()), mine("title", F.lit("")), mine("description", F.lit("")), mine("has_nav", F.lit(False)), F.col("_slow.reason").alias("reason"),
+        mine("us", taken),
+    )
 
 
 def slow_links(pages: DataFrame) -> DataFrame:
@@ -174,11 +171,7 @@ def two_tier_links(pages: DataFrame, outer: bool = False) -> DataFrame:
     With ``outer`` a page without links has one row of null link, so that pages and links are counted in one pass.
     """
     explode = F.posexplode_outer if outer else F.posexplode
-    both = routed(pages)
-    fast = both.where("route = 'fast'").select("page_id", "url", explode(raw_links(F.col("html"))).alias("pos", "raw"))
-    fast = fast.select("page_id", "url", F.lit("fast").alias("route"), "pos", F.when(F.col("raw").isNotNull(), urls.make_absolute(F.col("raw"), F.col("url"))).alias("link"))
-    slow = analyzed(both.where("route = 'slow'")).select("page_id", "url", F.lit("slow").alias("route"), explode("links").alias("pos", "link"))
-    return fast.unionByName(slow)
+    return extracted(pages).select("page_id", "url", "route", explode("links").alias("pos", "link"))
 
 
 def two_tier_documents(pages: DataFrame, extensions: Sequence[str] = DEFAULT.extensions) -> DataFrame:
@@ -187,17 +180,23 @@ def two_tier_documents(pages: DataFrame, extensions: Sequence[str] = DEFAULT.ext
 
 
 def quarantined(done: DataFrame) -> DataFrame:
-    """(page_id, url) of the pages that ``analyzed`` gave up: the log of failed pages, and what is counted."""
-    return done.where("failed").select("page_id", "url")
+    """(page_id, url, reason) of the pages that were given up: the log of failed pages, and what is counted."""
+    return done.where("reason IS NOT NULL").select("page_id", "url", "reason")
+
+
+def measures() -> list[Column]:
+    """What to observe of ``extracted`` rows, by route: pages, microseconds, links and documents."""
+    out = []
+    for route in ("fast", "slow"):
+        mine = F.col("route") == route
+        out += [F.count_if(mine).alias(f"{route}_pages")]
+        out += [F.coalesce(F.sum(F.when(mine, x)), F.lit(0)).cast("long").alias(f"{route}_{n}") for n, x in (("us", F.col("us")), ("links", F.size("links")), ("docs", F.size("documents")))]
+    return out
 
 
-def path_stats(pages: DataFrame, extensions: Sequence[str] = DEFAULT.extensions) -> DataFrame:
-    """(route, n_pages, avg_us, n_links, n_docs) of pages (..., us); the average is a whole number, 0 for no page."""
-    both = routed(pages)
-    fast = both.where("route = 'fast'").select("route", "us", F.size(raw_links(F.col("html"))).alias("links"), F.lit(0).alias("docs"))
-    slow = both.where("route = 'slow'")
-    done = analyzed(slow.withColumn("size", F.col("us")), extensions).select(F.lit("slow").alias("route"), F.col("size").alias("us"), F.size("links").alias("links"), F.size("documents").alias("docs"))
-    total = fast.unionByName(done).groupBy("route").agg(F.count("*").alias("n_pages"), F.sum("us").alias("us"), F.sum("links").alias("n_links"), F.sum("docs").alias("n_docs"))
+def path_stats(timed: DataFrame) -> DataFrame:
+    """(route, n_pages, avg_us, n_links, n_docs) of ``extracted`` rows; the average is a whole number."""
+    total = timed.groupBy("route").agg(F.count("*").alias("n_pages"), F.sum("us").alias("us"), F.sum(F.size("links")).alias("n_links"), F.sum(F.size("documents")).alias("n_docs"))
     return total.select("route", "n_pages", F.floor(F.col("us") / F.col("n_pages")).alias("avg_us"), "n_links", "n_docs")
 
 

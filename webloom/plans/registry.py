@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import figures, urls
-from webloom.operators import crawl, extract, frontier, monitor, network, routing, scheduler
+from webloom.operators import crawl, extract, frontier, monitor, network, routing, scheduler, structure
 from webloom.sources import documents, mirror, sinks, tables
 from webloom.sources.tables import Folder, pages, read
 from webloom.streaming import retries, streams
@@ -436,8 +436,8 @@ st AS (SELECT route, count(*)::BIGINT AS n_pages, (sum(size) // count(*))::BIGIN
 
 @query(f"{_STATS} SELECT * FROM st")
 def path_stats(spark, d):
-    """Sizes stand for the microseconds of a page."""
-    return extract.path_stats(pages(spark, d).withColumn("us", F.col("size")), ("the",))
+    """Sizes stand for the microseconds of a page, which SQL cannot know; path_timings has these."""
+    return extract.path_stats(extract.extracted(pages(spark, d), ("the",)).withColumn("us", F.col("size")))
 
 
 @query(f"{_STATS} SELECT printf('%s path: %d pages, %d us on average, %d links, %d documents', route, n_pages, avg_us, n_links, n_docs) AS line FROM st")
@@ -448,7 +448,7 @@ def path_lines(spark, d):
 # Every seventh page is nested deeper than the parser's stack.
 @query("SELECT count(*)::BIGINT AS panics FROM pages WHERE page_id % 7 = 0")
 def panic_count(spark, d):
-    deep = pages(spark, d).withColumn("html", F.when(F.col("page_id") % 7 == 0, F.concat(F.repeat(F.lit("<b>"), extract.NESTING + 1), "html")).otherwise(F.col("html")))
+    deep = pages(spark, d).withColumn("html", F.when(F.col("page_id") % 7 == 0, F.concat(F.repeat(F.lit("<b>"), structure.NESTING + 1), "html")).otherwise(F.col("html")))
     return extract.quarantined(extract.analyzed(deep)).agg(F.count("*").alias("panics"))
 
 
@@ -579,3 +579,13 @@ def document_sink(spark, d):
         some = links.where(F.col("page_id") % 2 == job).select("url").distinct()
         documents.save(some.select("url", F.lit(200).alias("status"), F.col("url").cast("binary").alias("content")), folder)
     return documents.read(spark, folder).select("filename", F.col("content").cast("string").alias("url"), F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query(f"{_STATS} SELECT route, n_pages, n_links, n_docs, true AS timed FROM st")
+def path_timings(spark, d):
+    """Counters and times of both paths, observed while the extraction runs, without a pass of their own."""
+    seen = Observation("paths")
+    extract.extracted(pages(spark, d), ("the",), timed=True).observe(seen, *extract.measures()).write.format("noop").mode("overwrite").save()
+    got = seen.get
+    rows = [(r, got[f"{r}_pages"], got[f"{r}_links"], got[f"{r}_docs"], got[f"{r}_us"] >= got[f"{r}_pages"]) for r in ("fast", "slow") if got[f"{r}_pages"]]
+    return spark.createDataFrame(rows, "route string, n_pages long, n_links long, n_docs long, timed boolean")
