@@ -23,6 +23,7 @@ class CrawlConfig:
     enqueue_backoff_ms: int = 50
     rate: int = 100_000
     burst: int = 2_400
+    logged_failures: int = 20
 
 
 DEFAULT = CrawlConfig()

@@ -65,10 +65,10 @@ def extension(url: Column) -> Column:
 
 
 def is_document_suffix(url: Column, extensions: Sequence[str]) -> Column:
-    """Two-tier rule: the lower-cased URL ends with one of the extensions."""
-    out = F.lit(False)
-    for e in extensions:
-        out = out | F.lower(url).endswith(e)
+    """Two-tier rule: the lower-cased URL ends with one of the extensions. One look-up for each length that they have."""
+    out, low = F.lit(False), F.lower(url)
+    for n in sorted({len(e) for e in extensions}):
+        out = out | F.right(low, F.lit(n)).isin([e for e in extensions if len(e) == n])
     return out
 
 

@@ -21,8 +21,11 @@ from webloom.operators.routing import routed
 
 
 def raw_links(html: Column) -> Column:
-    """array<string>: the value after each href=, quoted (up to the same quote or the end) or up to space or >."""
-    found = F.regexp_extract_all(html, F.lit(r"(?i)href=(\"[^\"]*|'[^']*|[^ >]*)"), F.lit(1))
+    """array<string>: the value after each href=, quoted (up to the same quote or the end) or up to space or >.
+
+    A page's last six bytes begin no link: of a page that ends in ``href=x`` that one is left out.
+    """
+    found = F.regexp_extract_all(html, F.lit(r"(?i)href=(?![\x00-\x7F]?\z)(\"[^\"]*|'[^']*|[^ >]*)"), F.lit(1))
     return F.filter(F.transform(found, lambda x: F.regexp_replace(x, "^[\"']", "")), urls.fast_link_kept)
 
 
@@ -38,7 +41,6 @@ def dotted(url: str) -> str:
 
 
 _FOUND = "links array<string>, documents array<struct<url:string,extension:string,title:string,context:string>>, title string, description string, has_nav boolean, reason string, us long"
-SLOW = f"page_id long, url string, size long, {_FOUND}"
 _NAMES = ["links", "documents", "title", "description", "has_nav", "reason", "us"]
 _KINDS = (pa.list_(pa.string()), pa.list_(pa.struct([(n, pa.string()) for n in ("url", "extension", "title", "context")])), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64())
 #: Pages and bytes that are parsed at once; a longer page is parsed alone.
@@ -96,21 +98,24 @@ def _analyzer(extensions: Sequence[str], contains: bool) -> Callable[[pa.Array,
     return run
 
 
-def analyzed(pages: DataFrame, extensions: Sequence[str] = DEFAULT.extensions, contains: bool = False) -> DataFrame:
+def analyzed(pages: DataFrame, extensions: Sequence[str] = DEFAULT.extensions, contains: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """One row per page by the thorough path; a page that cannot be parsed gets empty values, ``failed`` and a reason.
 
     ``contains`` finds documents by the single-tier rule (an extension before ? or & too). ``us`` is how long the
-    page took, in microseconds.
+    page took, in microseconds. Columns of ``keep`` stay.
     """
     find = _analyzer(extensions, contains)
+    own = ["page_id", "url", "size", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 4 * PAGES):
                 b = batch.slice(a, 4 * PAGES)
-                yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], b["size"], *find(b["url"], b["html"].fill_null(""))], ["page_id", "url", "size", *_NAMES])
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in own), *find(b["url"], b["html"].fill_null(""))], [*own, *_NAMES])
 
-    return pages.select("page_id", "url", "html", "size").mapInArrow(run, SLOW).withColumn("failed", F.col("reason").isNotNull())
+    given = pages.select(*own, "html")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "html")
+    return given.mapInArrow(run, f"{schema}, {_FOUND}").withColumn("failed", F.col("reason").isNotNull())
 
 
 def _nanos(after: Column) -> Column:

@@ -54,8 +54,12 @@ def interface_queues(interfaces: DataFrame, queues: DataFrame, queue: int, n: in
 
 
 def failures(states: DataFrame, url: str) -> DataFrame:
-    """Of each URL with one: its tasks that used up all their tries. A try that is followed by another counts not."""
-    return states.where("state = 'failed'").groupBy(url).agg(F.count("*").alias("failures"))
+    """Of each URL with one: its tasks that used up all their tries. A try that is followed by another counts not.
+
+    Of ``states`` from ``scheduler.rediscovered`` only tasks that were queued at all are counted.
+    """
+    failed = F.col("state") == "failed"
+    return states.where(failed & F.col("enqueued") if "enqueued" in states.columns else failed).groupBy(url).agg(F.count("*").alias("failures"))
 
 
 def first_lines(df: DataFrame, by: str, *order: str, n: int = 10) -> DataFrame:
@@ -95,3 +99,24 @@ def final_report(attempts: DataFrame, interfaces: DataFrame) -> DataFrame:
 def path_lines(stats: DataFrame) -> DataFrame:
     """(line): what a log says of each path (route, n_pages, avg_us, n_links, n_docs)."""
     return stats.select(F.format_string("%s path: %d pages, %d us on average, %d links, %d documents", "route", "n_pages", "avg_us", "n_links", "n_docs").alias("line"))
+
+
+def first_failures(attempts: DataFrame, *order: str, n: int = DEFAULT.logged_failures) -> DataFrame:
+    """The first ``n`` failed attempts, numbered: what a log prints before it falls silent. Cut in each task first."""
+    some = attempts.where("NOT ok").orderBy(*order).limit(n)
+    return some.withColumn("line", F.row_number().over(Window.orderBy(*order)))  # n rows
+
+
+def sketches(links: DataFrame, url: str, *by: str, lg: int = 12) -> DataFrame:
+    """A HyperLogLog sketch of the distinct URLs of each group: some KB, whatever their number. Estimates are within about 1 / 2^(lg/2)."""
+    return links.groupBy(*by).agg(F.hll_sketch_agg(url, F.lit(lg)).alias("sketch"))
+
+
+def merged(made: DataFrame, *by: str) -> DataFrame:
+    """Sketches of finer groups as those of coarser ones, without the URLs; without ``by``, of all."""
+    return made.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimated(made: DataFrame, into: str = "n_distinct") -> DataFrame:
+    """The sketches' numbers of distinct URLs."""
+    return made.withColumn(into, F.hll_sketch_estimate("sketch")).drop("sketch")

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions import figures, urls
-from webloom.operators import crawl, extract, frontier, monitor, network, routing, scheduler, structure
+from webloom.functions import figures, patterns, urls
+from webloom.operators import cache, crawl, extract, frontier, monitor, network, routing, scheduler, structure
 from webloom.sources import documents, mirror, sinks, tables
 from webloom.sources.tables import Folder, pages, read
-from webloom.streaming import retries, streams
+from webloom.streaming import logs, retries, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,9 +286,13 @@ def task_states(spark, d):
 _STATES = f"{_TRIES}, s AS (SELECT user_id, day, CASE WHEN max(ok::INT) = 1 THEN 'downloaded' WHEN count(*) > 3 THEN 'failed' ELSE 'pending' END AS state FROM m GROUP BY user_id, day)"
 
 
-@query(f"{_STATES} SELECT user_id, count(*)::BIGINT AS failures FROM s WHERE state = 'failed' GROUP BY 1")
+# A task counts only if it was queued: if all of its URL before had failed. Here all but sign-ups and purchases are failures, so that some tasks use up their tries.
+@query(f"""{_STATES.replace("event_type <> 'error'", "event_type IN ('signup', 'purchase')")}, q AS (SELECT *, coalesce(bool_and(state = 'failed') OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS enqueued FROM s)
+SELECT user_id, count(*)::BIGINT AS failures FROM q WHERE state = 'failed' AND enqueued GROUP BY 1""")
 def failures_per_task(spark, d):
-    return monitor.failures(scheduler.final_states(_tries(spark, d), "user_id", "day"), "user_id")
+    often = read(spark, d, "events").withColumn("day", F.to_date("ts")).withColumn("ok", F.col("event_type").isin("signup", "purchase"))
+    made = scheduler.tries(often, "user_id", "day", order=("ts", "event_id"))
+    return monitor.failures(scheduler.rediscovered(scheduler.final_states(made, "user_id", "day"), "day", url="user_id"), "user_id")
 
 
 @query(f"{_STATES} SELECT user_id, day, state, coalesce(bool_and(state = 'failed') OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS enqueued FROM s")
@@ -589,3 +593,93 @@ def path_timings(spark, d):
     got = seen.get
     rows = [(r, got[f"{r}_pages"], got[f"{r}_links"], got[f"{r}_docs"], got[f"{r}_us"] >= got[f"{r}_pages"]) for r in ("fast", "slow") if got[f"{r}_pages"]]
     return spark.createDataFrame(rows, "route string, n_pages long, n_links long, n_docs long, timed boolean")
+
+
+# Pages that end in the middle of a link: six bytes before the end none begins.
+@query(f"""{_BASE}, e AS (SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'xy' WHEN 2 THEN 'é' WHEN 3 THEN 'x' END AS raw, url FROM pages WHERE page_id % 5 IN (1, 2, 3))
+SELECT page_id, raw, link FROM links UNION ALL SELECT page_id, raw, {_ABS} AS link FROM e""")
+def fast_links_at_end(spark, d):
+    tail = F.element_at(F.array(*(F.lit(x) for x in ("<a href=x", "<a HREF=xy", "<a href=é", "<a href='x", "<a href='"))), (F.col("page_id") % 5).cast("int") + 1)
+    return extract.fast_links(pages(spark, d).withColumn("html", F.concat("html", tail))).select("page_id", "raw", "link")
+
+
+# The thousand first of the three-letter beginnings of links' last segments, and of their last three letters, as patterns.
+_PATTERNS = """u AS (SELECT DISTINCT lower(link) AS url FROM links), b AS (SELECT DISTINCT right(url, 3) AS p FROM u UNION SELECT DISTINCT left(split_part(url, '/', -1), 3) FROM u),
+k AS (SELECT p FROM b WHERE p <> '' ORDER BY encode(p) LIMIT 1000)"""
+
+
+@query(f"""{_BASE}, {_PATTERNS} SELECT url, count(*) FILTER (contains(url, p))::BIGINT AS inside, count(*) FILTER (ends_with(url, p))::BIGINT AS at_end FROM u, k GROUP BY url""")
+def link_patterns(spark, d):
+    seen = extract.fast_links(pages(spark, d)).select(F.lower("link").alias("url")).distinct()
+    some = seen.select(F.right("url", F.lit(3)).alias("p")).union(seen.select(F.left(F.substring_index("url", "/", -1), F.lit(3)).alias("p"))).where("p <> ''").distinct()
+    known = [r.p for r in some.orderBy("p").limit(1000).collect()]
+    found = patterns.matched(patterns.matched(seen, F.col("url"), known, into="a"), F.col("url"), known, at_end=True, into="b")
+    return found.select("url", F.size("a").cast("long").alias("inside"), F.size("b").cast("long").alias("at_end"))
+
+
+_DAYS = f"{_BASE}, v AS (SELECT regexp_extract(link, '^[^:/?#]+://([^/?#]*)', 1) AS host, {_norm('link')} AS norm_url FROM links)"
+
+
+@query(f"""{_DAYS}, n AS (SELECT host, count(DISTINCT norm_url) AS n_visited FROM v GROUP BY host UNION ALL SELECT '(all)', count(DISTINCT norm_url) FROM v)
+SELECT host, n_visited::BIGINT AS n_visited, true AS near FROM n""")
+def visited_sketches(spark, d):
+    """Distinct URLs by host and in all from sketches by host and day (here page_id modulo 7), within three standard errors of exact counts."""
+    norm = urls.normalize_url(F.col("link"))
+    links = extract.fast_links(pages(spark, d)).select(urls.host(F.col("link")).alias("host"), (F.col("page_id") % 7).alias("day"), norm.alias("norm_url"))
+    days = Folder(spark, "sketches").save(monitor.sketches(links, "norm_url", "host", "day"), "days")
+    made = monitor.estimated(monitor.merged(days, "host")).unionByName(monitor.estimated(monitor.merged(days)).withColumn("host", F.lit("(all)")))
+    exact = links.groupBy("host").agg(F.count_distinct("norm_url").alias("n_visited"))
+    exact = exact.unionByName(links.agg(F.count_distinct("norm_url").alias("n_visited")).withColumn("host", F.lit("(all)")))
+    near = F.abs(F.col("n_distinct") - F.col("n_visited")) <= F.greatest(F.lit(1.0), 3 * 1.04 / 64 * F.col("n_visited"))
+    return exact.join(made, "host").select("host", "n_visited", near.alias("near"))
+
+
+# The second run finds every tenth page with one more link.
+@query(f"""{_BASE} SELECT page_id, (count(raw) + CASE WHEN page_id % 10 = 3 THEN 1 ELSE 0 END)::BIGINT AS n_links, page_id % 10 = 3 AS parsed FROM p LEFT JOIN links USING (page_id) GROUP BY page_id""")
+def page_cache(spark, d):
+    known = cache.PageCache(spark)
+    known.analyzed(pages(spark, d))
+    changed = pages(spark, d).withColumn("html", F.when(F.col("page_id") % 10 == 3, F.concat(F.lit("<a href='/more'>more</a>"), "html")).otherwise(F.col("html")))
+    return known.analyzed(changed).select("page_id", F.size("links").cast("long").alias("n_links"), "parsed")
+
+
+@query(f"{_BASE} SELECT DISTINCT {_norm('link')} AS url FROM links")
+def visited_log(spark, d):
+    folder = Folder(spark, "logs").path
+    page = streams.source(spark, d, "pages").withColumn("size", F.octet_length("html").cast("long"))
+    logs.log(logs.visited(page), folder, "visited").awaitTermination()
+    return logs.logged(spark, folder, "visited", "url string").select("url")
+
+
+# Every seventh page is nested deeper than the parser's stack.
+@query("SELECT page_id, url, 'TooDeep: elements nested too deep' AS reason FROM pages WHERE page_id % 7 = 0")
+def quarantine_log(spark, d):
+    folder = Folder(spark, "logs").path
+    deep = F.when(F.col("page_id") % 7 == 0, F.concat(F.repeat(F.lit("<b>"), structure.NESTING + 1), "html")).otherwise(F.col("html"))
+    page = streams.source(spark, d, "pages").withColumn("html", deep).withColumn("size", F.octet_length("html").cast("long"))
+    logs.log(logs.quarantine(page), folder, "quarantine").awaitTermination()
+    return logs.logged(spark, folder, "quarantine", "page_id long, url string, reason string").drop("batch")
+
+
+@query("SELECT 'e' || event_id AS url FROM events WHERE event_type <> 'error'")
+def download_log(spark, d):
+    folder = Folder(spark, "logs").path
+    outcomes = streams.events(spark, d).select(F.concat(F.lit("e"), "event_id").alias("url"), (F.col("event_type") != "error").alias("ok"))
+    logs.log(logs.downloads(outcomes), folder, "downloaded").awaitTermination()
+    return logs.logged(spark, folder, "downloaded", "url string").select("url")
+
+
+# The events in eight files by time, a file a batch.
+@query("SELECT count(*)::BIGINT AS rows_in, 8::BIGINT AS batches, count(DISTINCT user_id)::BIGINT AS state_rows FROM events")
+def stream_progress(spark, d):
+    folder = Folder(spark, "progress").path
+    read(spark, d, "events").repartitionByRange(8, "ts", "event_id").write.parquet(f"{folder}/in/events.parquet")
+    seen = logs.Progress(spark, folder)
+    users = streams.first_sightings(streams.events(spark, f"{folder}/in", 1), "user_id")
+    seen.watch(lambda: logs.log(users, folder, "users"))
+    return seen.table().where("rows_in > 0").agg(F.sum("rows_in").alias("rows_in"), F.count("*").alias("batches"), F.max("state_rows").alias("state_rows"))
+
+
+@query("SELECT event_id, line::INTEGER AS line FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS line FROM events WHERE event_type = 'error') WHERE line <= 20")
+def first_failures(spark, d):
+    return monitor.first_failures(attempts(spark, d), "ts", "event_id").select("event_id", "line")

@@ -76,14 +76,19 @@ def drained(stream: DataFrame, mode: str = "append", path: str | None = None) ->
     return spark.read.schema(schema).parquet(f"{path}/data").select(*schema.names)
 
 
-def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1000) -> DataFrame:
-    """The events table as a stream: a folder of files, or one file, which a stream reads by its folder.
+def source(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 1000) -> DataFrame:
+    """A table as a stream: a folder of files, or one file, which a stream reads by its folder.
 
     A batch takes ``files_per_batch`` files at most: what arrives faster waits in the folder.
     """
-    path = f"{sf_dir}/events.parquet"
+    path = f"{sf_dir}/{table}.parquet"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
     if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(place).isDirectory():
         return reader.parquet(path)
-    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+
+
+def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1000) -> DataFrame:
+    """The events table as a stream."""
+    return source(spark, sf_dir, "events", files_per_batch)
