@@ -573,15 +573,16 @@ def page_scan(spark, d):
 
 
 # Two jobs write the links that have a file name: those of even pages, then those of odd ones; names collide in each and across.
-@query(f"""{_BASE}, n AS (SELECT DISTINCT page_id % 2 AS job, link AS url FROM links), m AS (SELECT job, url, {_NAME} AS filename FROM n),
+# Every seventh page's links are not found.
+@query(f"""{_BASE}, n AS (SELECT DISTINCT page_id % 2 AS job, link AS url FROM links WHERE page_id % 7 <> 0), m AS (SELECT job, url, {_NAME} AS filename FROM n),
 w AS (SELECT filename, job, max(url) AS url FROM m WHERE contains(filename, '.') GROUP BY 1, 2)
 SELECT filename, arg_max(url, job) AS url, octet_length(encode(arg_max(url, job)))::BIGINT AS bytes FROM w GROUP BY 1""")
 def document_sink(spark, d):
     folder = Folder(spark, "documents").path
     links = extract.fast_links(pages(spark, d)).select("page_id", F.col("link").alias("url")).where(~urls.filename(F.col("link")).startswith("download_"))
     for job in (0, 1):
-        some = links.where(F.col("page_id") % 2 == job).select("url").distinct()
-        documents.save(some.select("url", F.lit(200).alias("status"), F.col("url").cast("binary").alias("content")), folder)
+        some = links.where(F.col("page_id") % 2 == job).select("url", F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status")).distinct()
+        documents.save(some.select("url", "status", F.col("url").cast("binary").alias("content")), folder)
     return documents.read(spark, folder).select("filename", F.col("content").cast("string").alias("url"), F.octet_length("content").cast("long").alias("bytes"))
 
 
@@ -683,3 +684,66 @@ def stream_progress(spark, d):
 @query("SELECT event_id, line::INTEGER AS line FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS line FROM events WHERE event_type = 'error') WHERE line <= 20")
 def first_failures(spark, d):
     return monitor.first_failures(attempts(spark, d), "ts", "event_id").select("event_id", "line")
+
+
+# Limits under which pages of every size are there.
+@query(f"WITH {_ROUTED.strip().replace('512000', '8000').replace('102400', '2500')} SELECT page_id, rule, route FROM r")
+def route_thresholds(spark, d):
+    return routing.routed(pages(spark, d), medium=2_500, large=8_000).select("page_id", "rule", "route")
+
+
+# The links between pages, from the first five pages, to any depth. No page is farther away than there are levels here.
+_REACH = f"""{_BASE}, l AS (SELECT page_id, {_norm('link')} AS norm_url FROM links),
+site AS (SELECT page_id, {_norm('url')} AS norm_url FROM pages UNION SELECT {_served('norm_url')}, norm_url FROM l),
+g AS (SELECT DISTINCT 'p' || l.page_id AS src, 'p' || site.page_id AS dst FROM l JOIN site USING (norm_url))"""
+_LEVELS = """b(url, depth) AS (SELECT 'p' || page_id, 0 FROM pages WHERE page_id < 5 UNION SELECT g.dst, b.depth + 1 FROM b JOIN g ON b.url = g.src WHERE b.depth < 30),
+m AS (SELECT url, min(depth) AS depth FROM b GROUP BY url)"""
+
+
+def _graph(spark, d):
+    each = edges_in_corpus(spark, d).select(F.format_string("p%d", "src").alias("src"), F.format_string("p%d", "dst").alias("dst"))
+    return Folder(spark, "graph").save(each, "edges"), read(spark, d, "pages").where("page_id < 5").select(F.format_string("p%d", "page_id").alias("url"))
+
+
+@query(f"""WITH RECURSIVE {_REACH.removeprefix('WITH ')}, {_LEVELS}
+SELECT m.url, m.depth::INTEGER AS depth, min(n.url) AS parent FROM m LEFT JOIN g ON g.dst = m.url AND m.depth > 0 LEFT JOIN m AS n ON n.url = g.src AND n.depth = m.depth - 1 GROUP BY m.url, m.depth""")
+def graph_reach(spark, d):
+    return frontier.expand(*_graph(spark, d), None)
+
+
+# Start pages are in the visited log only if a page that is reached links to them.
+@query(f"""WITH RECURSIVE {_REACH.removeprefix('WITH ')}, {_LEVELS}
+SELECT url FROM m WHERE depth > 0 OR url IN (SELECT dst FROM g WHERE src IN (SELECT url FROM m))""")
+def graph_visited(spark, d):
+    edges, start = _graph(spark, d)
+    return frontier.visited_log(frontier.expand(edges, start, None), edges)
+
+
+def _halves(spark, d, folder, part):
+    """Appends the events of even (0) or odd (1) ids to a folder, as one file."""
+    read(spark, d, "events").where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+
+
+# First the events of even ids, then the others: of these all come too late but those of the last day, whose window stays open.
+@query("""WITH w AS (SELECT max(ts) AS last FROM events)
+SELECT time_bucket(INTERVAL '1 day', ts)::TIMESTAMP AS start, count(*)::BIGINT AS attempts, count(*) FILTER (event_type <> 'error')::BIGINT AS success
+FROM events, w WHERE event_id % 2 = 0 AND time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' <= last - INTERVAL '1 hour' GROUP BY 1""")
+def stream_late(spark, d):
+    folder = Folder(spark, "late").path
+    out = None
+    for part in (0, 1):
+        _halves(spark, d, folder, part)
+        rows = streams.events(spark, folder).select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
+        out = streams.drained(streams.window_counts(rows), path=f"{folder}/run")
+    return out
+
+
+# The same stream in two runs, the second of which goes on from the state and the offsets of the first.
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_resume(spark, d):
+    folder = Folder(spark, "resume").path
+    out = None
+    for part in (0, 1):
+        _halves(spark, d, folder, part)
+        out = streams.drained(streams.first_sightings(streams.events(spark, folder), "user_id", "event_type"), path=f"{folder}/run")
+    return out
