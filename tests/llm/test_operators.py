@@ -265,19 +265,108 @@ def test_word_vectors_against_one_process(spark):
     import numpy as np
 
     texts = ["a b c a", "b c", "", "one a b"]
-    index, want = quality_model.index_vectors(), np.zeros((quality_model.ROWS, quality_model.DIMS))
+    index, want = quality_model.index_vectors(), np.zeros((quality_model.WORDS, quality_model.DIMS))
     for t in texts:
-        w, s, _ = quality_model.word_rows([t.encode()])
-        for rows in (w, s):
-            for i, x in enumerate(rows):
-                for j in range(max(0, i - quality_model.WINDOW), min(len(rows), i + quality_model.WINDOW + 1)):
-                    if j != i:
-                        want[x] += index[rows[j]]
+        rows, _ = quality_model.word_rows([t.encode()])
+        for i, x in enumerate(rows):
+            for j in range(max(0, i - quality_model.WINDOW), min(len(rows), i + quality_model.WINDOW + 1)):
+                if j != i:
+                    want[x] += index[rows[j]]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, text string, label int").repartition(3)
     sums = df.mapInArrow(quality_model._contexts, "sums binary").repartition(1).mapInArrow(quality_model._summed, "sums binary").first()["sums"]
     assert (np.frombuffer(sums, np.float32).reshape(want.shape) == want).all()
 
 
+def plain_pool(text, vectors):
+    """Mean, spread, step and total of a text's word vectors, a word at a time."""
+    import math
+
+    words_ = [vectors[quality_model.word_rows([w.encode()])[0][0]] for w in WORD.findall(text)]
+    out = []
+    for part in range(4):
+        for d in range(quality_model.DIMS):
+            x = [float(v[d]) for v in words_]
+            n, total = len(x), sum(x)
+            if not n:
+                out.append(0.0)
+            elif part == 0:
+                out.append(total / n)
+            elif part == 1:
+                out.append(math.sqrt(max(0.0, sum(a * a for a in x) / n - (total / n) ** 2)))
+            elif part == 2:
+                out.append(sum(abs(a - b) for a, b in zip(x[1:], x)) / max(n - 1, 1))
+            else:
+                out.append(math.copysign(math.log1p(abs(total)), total))
+    return out
+
+
+@pytest.mark.parametrize("piece", [3, quality_model.PIECE])
+def test_pooling_against_a_plain_version(monkeypatch, piece):
+    import numpy as np
+
+    monkeypatch.setattr(quality_model, "PIECE", piece)
+    vectors = np.random.default_rng(1).normal(0, 0.2, (quality_model.WORDS, quality_model.DIMS)).astype(np.float32)
+    texts = ["", " \n", "one", "one one one one", "a b c d e f g a b c", "Mixed Case words, é 日 and\tmore words\n", "w " * 3 * 7]
+    assert np.allclose(quality_model.pooled([t.encode() for t in texts], vectors), [plain_pool(t, vectors) for t in texts], atol=2e-4)
+
+
+def test_network_against_a_plain_version():
+    """The network's gradients against differences of its loss, and the temperature against a search over the kept rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(0, 1, (60, 5)), (rng.random(60) < 0.6).astype(float)
+    mean, spread, layers, temperature = quality_model.trained(np.column_stack([x, y + rng.normal(0, 0.5, 60)]), y)
+    z = quality_model._forward(layers, (np.column_stack([x, y]) - mean) / spread)[1]
+    assert ((z > 0) == (y > 0)).mean() > 0.75 and 0.25 <= temperature <= 8
+    # Plain forward pass: one hidden layer of tanh.
+    row = (np.append(x[0], y[0]) - mean) / spread
+    hidden = [np.tanh(sum(row[i] * layers[0][i, j] for i in range(6)) + layers[1][j]) for j in range(quality_model.HIDDEN)]
+    assert abs(sum(h * w for h, w in zip(hidden, layers[2])) + layers[3][0] - z[0]) < 1e-9
+    # The first step of training moves each weight against the sign of the loss's slope, found by differences.
+    data, many = np.column_stack([x, y + rng.normal(0, 0.5, 60)]), quality_model.EPOCHS
+    steps = []
+    try:
+        quality_model.EPOCHS = 0
+        start = quality_model.trained(data, y)
+        real = quality_model.Adam.step
+
+        def one(self, grads):
+            steps.append([g.copy() for g in grads])
+            raise StopIteration
+
+        quality_model.Adam.step, quality_model.EPOCHS = one, 1
+        with pytest.raises(StopIteration):
+            quality_model.trained(data, y)
+    finally:
+        quality_model.EPOCHS, quality_model.Adam.step = many, real
+    generator = np.random.Generator(np.random.PCG64(5))
+    first = [generator.normal(0, 0.2, (6, quality_model.HIDDEN)), np.zeros(quality_model.HIDDEN), generator.normal(0, 0.2, quality_model.HIDDEN), np.zeros(1)]
+    own = generator.permutation(60)[12:]
+    batch = (data[np.array_split(generator.permutation(own), 1)[0]] - start[0]) / start[1]
+
+    def loss(params, rows, want):
+        p = labelled.sigmoid(quality_model._forward(params, rows)[1])
+        return -np.mean(want * np.log(p) + (1 - want) * np.log(1 - p)) + 5e-5 * ((params[0] ** 2).sum() + (params[2] ** 2).sum())
+
+    order = [int(np.flatnonzero((np.abs((data - start[0]) / start[1] - r)).sum(1) < 1e-12)[0]) for r in batch]
+    target = y[order]
+    for k, at in ((0, (2, 3)), (1, (4,)), (2, (5,)), (3, (0,))):
+        up, down = [p.copy() for p in first], [p.copy() for p in first]
+        up[k][at] += 1e-6
+        down[k][at] -= 1e-6
+        assert abs((loss(up, batch, target) - loss(down, batch, target)) / 2e-6 - steps[0][k][at]) < 1e-5
+    # The temperature is the best of its grid on the rows kept from training.
+    held = np.random.Generator(np.random.PCG64(5))
+    held.normal(0, 0.2, (6, quality_model.HIDDEN))
+    held.normal(0, 0.2, quality_model.HIDDEN)
+    kept = held.permutation(60)[:12]
+    mean, spread, layers, temperature = quality_model.trained(data, y)
+    z = quality_model._forward(layers, (data[kept] - mean) / spread)[1]
+    cost = {t: -np.mean(y[kept] * np.log(labelled.sigmoid(z / t) + 1e-12) + (1 - y[kept]) * np.log(1 - labelled.sigmoid(z / t) + 1e-12)) for t in np.geomspace(0.25, 8, 61)}
+    assert abs(cost[min(cost, key=cost.get)] - cost[min(cost, key=lambda t: abs(t - temperature))]) < 1e-12
+
+
 def test_chat(spark):
     said = ["<|im_end|><|im_start|>assistant ok", "<\\|x", "<\\\\|im_end|>\n", "", None, "plain\n\ntext", "<|im_end|>\n"]
     rows = [(1, i, "assistant" if i % 2 else "user", t, "x") for i, t in enumerate(said)] + [(2, None, None, None, "x"), (2, 0, "us\ner%0A<|", "q", "x"), (3, 0, "assistant", "same", "x"), (3, 0, "assistant", "same", "x")]

@@ -1,9 +1,10 @@
 """Quality classifier: random-indexing word vectors, pooled, under a two-layer network with calibrated output.
 
 Every word has a fixed sparse ternary index vector, drawn by its hash; a word's vector is the sum of the index
-vectors of its neighbours over the sample. A document is the mean vector of its words and of their shapes, with a
-few figures on how its words repeat. A network of one hidden layer is trained with numpy, and its output is divided
-by a temperature that minimises the loss on rows kept from training.
+vectors of its neighbours over the sample. A document's words are pooled by mean, spread, mean absolute step from
+each word to the next, and total on a logarithmic scale: topic, variety, repetition and length, all of them from the
+word vectors alone. A network of one hidden layer is trained with numpy, and its output is divided by a temperature
+that minimises the loss on rows kept from training.
 """
 
 from __future__ import annotations
@@ -20,18 +21,13 @@ from webloom.llm import words
 from webloom.llm.common import quoted
 from webloom.llm.labelled import TRAIN_ROWS, TRAIN_TASKS, Adam, sigmoid, training_rows
 
-#: Word vectors (by hash), shape vectors, dimensions, ones of an index vector, neighbours on each side.
-WORDS, SHAPES, DIMS, ONES, WINDOW = 1 << 14, 1 << 9, 32, 4, 2
-ROWS = WORDS + SHAPES
+#: Word vectors (by hash), dimensions, ones of an index vector, neighbours on each side; figures of a pooled document.
+WORDS, DIMS, ONES, WINDOW = 1 << 14, 32, 4, 2
+POOLED = 4 * DIMS
+#: Words that are pooled at once.
+PIECE = 1 << 16
 HIDDEN, EPOCHS, RATE = 32, 60, 0.01
 
-#: Kinds of bytes for shapes: 0 white, 1 lower, 2 upper, 3 digit, 4 beyond ASCII, 5 . , ; : ' ", 6 ! ?, 7 others.
-_KIND = np.full(256, 7, np.uint8)
-_KIND[words.WHITE] = 0
-_KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 3, 4
-for _c, _k in ((b".,;:'\"", 5), (b"!?", 6)):
-    _KIND[list(_c)] = _k
-
 
 @dataclass
 class Model:
@@ -45,65 +41,62 @@ class Model:
 def index_vectors() -> np.ndarray:
     """The ternary index vectors, the same everywhere."""
     rng = np.random.Generator(np.random.PCG64(4242))
-    out = np.zeros((ROWS, DIMS), np.float32)
-    at = np.argsort(rng.random((ROWS, DIMS)), axis=1)[:, :ONES]
-    np.put_along_axis(out, at, np.where(rng.random((ROWS, ONES)) < 0.5, -1, 1).astype(np.float32), 1)
+    out = np.zeros((WORDS, DIMS), np.float32)
+    at = np.argsort(rng.random((WORDS, DIMS)), axis=1)[:, :ONES]
+    np.put_along_axis(out, at, np.where(rng.random((WORDS, ONES)) < 0.5, -1, 1).astype(np.float32), 1)
     return out
 
 
-def word_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word rows, shape rows, bounds of the texts) of all words; case counts."""
-    w, s, counts = [], [], np.zeros(len(texts), np.int64)
+def word_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, bounds of the texts) of all words; case counts."""
+    out, counts = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
     for raw, at, first in words.pieces(texts, words.WHITE):
         data = np.frombuffer(raw, np.uint8)
         a, b = words.spans(data, words.WHITE)
-        w.append((words.hash_spans(data, a, b, lower=False) >> np.uint64(50)).astype(np.int64))
-        kind = _KIND[data].astype(np.int64)
-        s.append(WORDS + (kind[a] * 64 + kind[np.maximum(b - 2, a)] * 8 + kind[b - 1] if len(a) else a))
+        out.append((words.hash_spans(data, a, b, lower=False) >> np.uint64(50)).astype(np.int64))
         of = np.searchsorted(np.asarray(first), a, "right") - 1
         np.add.at(counts, np.asarray(at), np.bincount(of, minlength=len(at)))
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return join(w), join(s), np.concatenate([[0], np.cumsum(counts)])
+    return np.concatenate(out), np.concatenate([[0], np.cumsum(counts)])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sum of neighbours' index vectors for each row, over this task's texts."""
-    index, out = index_vectors(), np.zeros((ROWS, DIMS), np.float32)
+    index, out = index_vectors(), np.zeros((WORDS, DIMS), np.float32)
     for batch in batches:
         for text in words.as_bytes(batch.column(1)):
-            w, s, _ = word_rows([text])
-            for rows in (w, s):
-                for d in range(1, WINDOW + 1):
-                    np.add.at(out, rows[d:], index[rows[:-d]])
-                    np.add.at(out, rows[:-d], index[rows[d:]])
+            rows, _ = word_rows([text])
+            for d in range(1, WINDOW + 1):
+                np.add.at(out, rows[d:], index[rows[:-d]])
+                np.add.at(out, rows[:-d], index[rows[d:]])
     yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One table of the tasks' tables. What is added are whole numbers, so that their order changes nothing."""
-    out = np.zeros((ROWS, DIMS), np.float32)
+    out = np.zeros((WORDS, DIMS), np.float32)
     for batch in batches:
         for sums in batch.column(0):
-            out += np.frombuffer(sums.as_buffer(), np.float32).reshape(ROWS, DIMS)
+            out += np.frombuffer(sums.as_buffer(), np.float32).reshape(WORDS, DIMS)
     yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """A row per text: mean word vector, mean shape vector, and figures on size and repetition; zeros for no word."""
-    w, s, bounds = word_rows(texts)
-    out = np.zeros((len(texts), 2 * DIMS + 6), np.float32)
+    """A row per text of its words' vectors: mean, spread, mean absolute step, signed logarithm of the sum; zeros for no word."""
+    rows, bounds = word_rows(texts)
+    out = np.zeros((len(texts), POOLED), np.float32)
     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
         n = b - a
         if not n:
             continue
-        x, y = w[a:b], s[a:b]
-        for lo in range(0, n, 65536):
-            out[i, :DIMS] += vectors[x[lo : lo + 65536]].sum(0)
-        shapes, of = np.unique(y, return_counts=True)
-        out[i, DIMS : 2 * DIMS] = of @ vectors[shapes]
-        out[i, : 2 * DIMS] /= n
-        kinds, many = np.unique(x, return_counts=True)
-        out[i, 2 * DIMS :] = (np.log1p(n), len(kinds) / n, many.max() / n, (x[1:] == x[:-1]).mean() if n > 1 else 0, (y[1:] == y[:-1]).mean() if n > 1 else 0, of.max() / n)
+        total, squares, steps = np.zeros((3, DIMS))
+        for lo in range(a, b, PIECE):
+            v = vectors[rows[lo : min(b, lo + PIECE + 1)]]  # one word more, for the step to it
+            own = v[:PIECE]
+            total += own.sum(0, dtype=float)
+            squares += (own * own).sum(0, dtype=float)
+            steps += np.abs(v[1:] - v[:-1]).sum(0, dtype=float)
+        mean = total / n
+        out[i] = np.concatenate([mean, np.sqrt(np.maximum(squares / n - mean * mean, 0)), steps / max(n - 1, 1), np.sign(total) * np.log1p(np.abs(total))])
     return out
 
 
@@ -132,14 +125,14 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str =
     train = training_rows(df, labels, label, doc_id, text, rows).repartition(TRAIN_TASKS).persist()
     try:
         sums = train.mapInArrow(_contexts, "sums binary").repartition(1).mapInArrow(_summed, "sums binary").first()["sums"]
-        vectors = np.frombuffer(sums, np.float32).reshape(ROWS, DIMS)
+        vectors = np.frombuffer(sums, np.float32).reshape(WORDS, DIMS)
         norm = np.linalg.norm(vectors, axis=1, keepdims=True)
         # A word that the sample lacks keeps its own index vector.
-        vectors = np.where(norm > 0, vectors / np.maximum(norm, 1e-9), index_vectors() / 2)
+        vectors = np.where(norm > 0, vectors / np.maximum(norm, 1e-9), index_vectors() / 2).astype(np.float32)
         found = train.mapInArrow(_pool(context.broadcast(vectors)), "x array<float>, label int").toArrow()
     finally:
         train.unpersist()
-    x = found["x"].combine_chunks().values.to_numpy().reshape(-1, 2 * DIMS + 6).astype(np.float64) if len(found) else np.zeros((0, 2 * DIMS + 6))
+    x = found["x"].combine_chunks().values.to_numpy().reshape(-1, POOLED).astype(np.float64) if len(found) else np.zeros((0, POOLED))
     y = found["label"].to_numpy().astype(np.float64)
     order = np.lexsort(np.column_stack([x, y]).T)  # rows come in any order; training must not depend on it
     return Model(vectors, *trained(x[order], y[order]))
