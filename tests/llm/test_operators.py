@@ -444,6 +444,20 @@ def test_bpe(spark):
         assert list(r.ids) == known.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode() and r.node == "keep"
 
 
+def test_ids_of_other_types(spark):
+    """Whole numbers as text are ids; other text is refused by the operators that compare ids by size, taken by the classifiers."""
+    named = spark.createDataFrame([("d1", "a b c d e f"), ("d2", "a b c d e f")], "doc_id string, text string")
+    whole = spark.createDataFrame([("7", "a b c d e f"), ("12", "a b c d e f")], "doc_id string, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    assert {r.component_id for r in jaccard.jaccard_classes(whole).collect()} == {7} and decontam.contaminated(whole, bench).count() == 2
+    for run in (lambda: jaccard.jaccard_classes(named), lambda: decontam.contaminated(named, bench)):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            run().collect()
+    labels = spark.createDataFrame([("d1", 1, 0), ("d2", 0, 1)], "doc_id string, quality int, toxic int")
+    for module in (quality_model, toxicity):
+        assert named.select(module.score(named, module.fit(named, labels))).count() == 2
+
+
 def test_empty_tables_and_odd_names(spark):
     """No rows give no rows; a text column with a dot in its name is read like any other."""
     path, model = public.path("byte_bpe_50k.tiktoken"), public.path("piece_bpe_32k.model")

@@ -24,8 +24,8 @@ from webloom.llm import words
 from webloom.llm.common import Scratch, columns, fresh, quoted
 
 SEED, COVERAGE = 5, 0.5
-#: Bits of the bitmap of seeds; parts that a seed's documents and an item's are dealt out to.
-SIEVE, SALTS = 1 << 25, 16
+#: Bits of the bitmap of seeds.
+SIEVE = 1 << 25
 _HITS = "doc_id long, item_id long, item_words long, matched_words long, n_tiles long, longest long, coverage double"
 _U = np.uint64
 
@@ -209,7 +209,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     Words are runs of letters and digits (all beyond ASCII included), A-Z lower-cased. An item of fewer words than
     ``seed`` must stand in the document whole; one without words, or null, matches nothing, and nothing matches in
     null or empty texts. Rows that repeat an id are judged each by its text, rows that repeat both count once; so do
-    the benchmark's. An id may be null. The result reads tables of the shared scratch folder.
+    the benchmark's. An id may be null; one that is no whole number is refused with an error. The result reads tables
+    of the shared scratch folder.
     """
     own = Scratch(df.sparkSession, "decontam")
     named = benchmark.select(F.col(quoted(item_id)).cast("long").alias("item_id"), F.coalesce(F.col(quoted(item_text)), F.lit("")).alias("text")).distinct()
@@ -218,21 +219,21 @@ def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     lengths = sorted(r[0] for r in items.select(F.least(F.col("n"), F.lit(seed))).distinct().collect())
     if not lengths:
         return df.sparkSession.createDataFrame([], _HITS)
-    # Of each item the rarest seeds of the benchmark, so that a phrase which many items share brings none of them.
-    common = seeds.groupBy("h").agg(F.count_distinct("item").alias("n_items"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("n_items", "h"))
-    probes = seeds.join(common, "h").withColumn("rank", rank).where("rank <= need").select("item", "h").distinct()
-    probes = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
     shared = df.sparkSession.sparkContext.broadcast(sieve_of(seeds))
     docs = df.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
     found = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(_stretches(shared, lengths), "doc_id long, key long, words array<long>, lengths array<int>, seeds array<long>")
     docs = own.save(found, "stretches")
-    salt = F.pmod(F.col("key"), F.lit(SALTS)).cast("int").alias("salt")
-    met = docs.select("doc_id", "key", salt, F.explode("seeds").alias("h")).join(probes, ["h", "salt"]).select("doc_id", "key", "salt", "item").distinct()
+    # Of each item the seeds that are rarest in the documents, then in the benchmark: a phrase that many documents or
+    # items share brings none of them where the item has another.
+    common = seeds.groupBy("h").agg(F.count_distinct("item").alias("n_items"))
+    seen = docs.select(F.explode("seeds").alias("h")).groupBy("h").agg(F.count("*").alias("n_docs"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("n_docs", F.lit(0)), "n_items", "h"))
+    probes = seeds.join(common, "h").join(seen, "h", "left").withColumn("rank", rank).where("rank <= need")
+    # Written first: joins of plain shuffles, whose hot partitions are split by their size, whatever it is.
+    probes = own.save(probes.select("item", "h").distinct(), "probes")
+    met = own.save(docs.select("doc_id", "key", F.explode("seeds").alias("h")).join(probes, "h").select("doc_id", "key", "item").distinct(), "met")
     held = docs.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("words").alias("doc_words"), "lengths").dropDuplicates(["d", "k"])
-    dealt = items.select("item", "item_id", "words", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = met.join(held, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).join(dealt, ["item", "salt"])
+    pairs = met.join(held, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).join(items, "item")
     return pairs.select("doc_id", "item_id", "doc_words", "lengths", "words").mapInArrow(_tile(seed, coverage), _HITS)
 
 

@@ -213,7 +213,7 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     the least id that links reach, the row's own included. Null and empty texts have empty sets and link with
     nothing. Rows that share an id come back as often and are one document: if their texts differ, what links with
     one of them is linked with all. Rows of null id are left out of the links and are a class of their own
-    (component_id null). Shingles are 64-bit hashes, sets are told apart by 128 bits. ``percent`` is 50 to 100. An
+    (component_id null), and an id that is no whole number is refused with an error. Shingles are 64-bit hashes, sets are told apart by 128 bits. ``percent`` is 50 to 100. An
     empty table gives an empty one. The result reads tables of the shared scratch folder.
     """
     own = Scratch(df.sparkSession, "jaccard")
