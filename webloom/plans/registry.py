@@ -747,3 +747,26 @@ def stream_resume(spark, d):
         _halves(spark, d, folder, part)
         out = streams.drained(streams.first_sightings(streams.events(spark, folder), "user_id", "event_type"), path=f"{folder}/run")
     return out
+
+
+# URLs that hold a word which decides, by page: in the path, as a host, in a query, and in capitals.
+_TYPED = """(SELECT page_id, html, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN split_part(split_part(url, '#', 1), '?', 1) || '/Research/x' WHEN 2 THEN 'https://library.example.org/a/b/c' WHEN 3 THEN url || '#/paper'
+  WHEN 4 THEN 'https://example.org/a/b/c/TAG/' || page_id ELSE 'https://example.org/a/b/c/' || page_id END AS url FROM pages)"""
+
+
+@query(f"WITH {_ROUTED.strip().replace('512000', '8000').replace('102400', '1500').replace('FROM pages', f'FROM {_TYPED}')} SELECT page_id, rule, route FROM r")
+def route_keywords(spark, d):
+    u, k = F.col("url"), F.col("page_id") % 6
+    plain = F.substring_index(F.substring_index(u, "#", 1), "?", 1)
+    typed = F.when(k == 0, u).when(k == 1, F.concat(plain, F.lit("/Research/x"))).when(k == 2, "https://library.example.org/a/b/c").when(k == 3, F.concat(u, F.lit("#/paper")))
+    typed = typed.when(k == 4, F.concat(F.lit("https://example.org/a/b/c/TAG/"), "page_id")).otherwise(F.concat(F.lit("https://example.org/a/b/c/"), "page_id"))
+    return routing.routed(pages(spark, d).withColumn("url", typed), medium=1_500, large=8_000).select("page_id", "rule", "route")
+
+
+# A document behind a long paragraph of each page: what surrounds it is cut at 200 bytes, then trimmed.
+@query("""WITH t AS (SELECT page_id, url AS page_url, '  ' || repeat(page_id || ' words ', 1 + page_id % 40) || 'the file.' AS around FROM pages)
+SELECT page_id, trim(CASE WHEN length(around) > 200 THEN left(around, 200) || '...' ELSE around END) AS context, 'the file.' AS title FROM t""")
+def document_contexts(spark, d):
+    around = F.concat(F.lit("<p>  "), F.expr("repeat(concat(page_id, ' words '), cast(1 + page_id % 40 as int))"), F.lit("<a href=/f.pdf>the file.</a></p>"))
+    made = read(spark, d, "pages").select("page_id", "url", around.alias("html"), F.lit(1).cast("long").alias("size"))
+    return extract.documents(made).select("page_id", "context", "title")
