@@ -275,3 +275,19 @@ def test_queries_where_pages_repeat(spark, tmp_path):
     names = sorted(got.columns)
     assert sorted(repr(tuple(r[c] for c in names)) for r in got.collect()) == sorted(repr(r) for r in con.sql(queries.OP13_SQL).project(", ".join(names)).fetchall())
     assert got.where("record_type = 'revisit'").count() > 100
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 25])
+def test_sieves(spark, monkeypatch, bits):
+    """Suspects hold all rows that are asked for; what is left out is left out exactly, with a full sieve too."""
+    from webloom.llm import common
+
+    monkeypatch.setattr(common, "SIEVE", bits)
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(3000)] + [(5, "again"), (None, "null")], "id long, _gone string").withColumn("a.b", F.lit("dot")).withColumn("_page", F.lit("mine"))
+    for gone, null in (([5, 7, 2999, 10**9], False), (range(0, 6000, 2), True), ([], False)):
+        keys = spark.createDataFrame([(i,) for i in gone] + [(None,)] * null, "k long")
+        kept = common.without(df, F.col("id"), keys)
+        assert kept.columns == df.columns and sorted(r._gone for r in kept.collect()) == sorted(r._gone for r in df.collect() if r.id not in set(gone) and not (null and r.id is None))
+        some = [r.id for r in common.suspects(df, F.col("id"), keys).collect()]
+        assert {*gone} & set(range(3000)) <= set(some) and (bits == 1 << 15 or len(some) <= 1.1 * len(gone) + 3)
+    assert common.without(df.limit(0), F.col("id"), keys).count() == 0

@@ -47,6 +47,48 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns]
 
 
+#: Bits of a sieve, and of each of its pages (what Spark's bitmaps hold).
+SIEVE, PAGE = 1 << 25, 1 << 15
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SIEVE))
+
+
+def _sifted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` with a sieve's page, and whether a row's ``key`` may be among ``keys`` (one column of the same type).
+
+    The sieve is a bitmap of SIEVE bits, whatever the number of keys, so it is broadcast. With very many keys it
+    rules out little; that costs speed alone.
+    """
+    (name,) = keys.columns
+    bits = keys.select(_place(F.col(quoted(name))).alias("p")).groupBy(F.floor(F.col("p") / PAGE).alias("page")).agg(F.bitmap_construct_agg(F.col("p") % PAGE).alias("bits"))
+    c = fresh(df, "page", "bits")
+    at = _place(key) % PAGE
+    byte = F.conv(F.hex(F.substring(F.col(c["bits"]), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    out = df.join(F.broadcast(bits.select(F.col("page").alias(c["page"]), F.col("bits").alias(c["bits"]))), F.floor(_place(key) / PAGE) == F.col(c["page"]), "left")
+    return out, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
+def suspects(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` may be among ``keys``: all that are, and few others."""
+    out, hit = _sifted(df, key, keys)
+    return out.where(hit).select(*columns(df))
+
+
+def without(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is not among ``keys``; a null key is if a null is there. Only suspects are shuffled.
+
+    Both are read twice: ``keys`` should be a table.
+    """
+    (name,) = keys.columns
+    out, hit = _sifted(df, key, keys)
+    c = fresh(df, "gone")["gone"]
+    gone = keys.select(F.col(quoted(name)).alias(c)).distinct()
+    left = out.where(hit).select(*columns(df)).join(gone, key.eqNullSafe(F.col(c)), "left_anti")
+    return out.where(~hit).select(*columns(df)).union(left.select(*columns(df)))
+
+
 #: Has Spark delete a query's shuffle files when the query ends, not when the driver happens to collect its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

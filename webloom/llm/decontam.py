@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm import words
-from webloom.llm.common import Scratch, columns, fresh, quoted
+from webloom.llm.common import Scratch, quoted, without
 
 SEED, COVERAGE = 5, 0.5
 #: Bits of the bitmap of seeds.
@@ -239,6 +239,5 @@ def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``df`` without the documents that cover a benchmark item. Rows of null id stay only if no null id is hit."""
-    c = fresh(df, "hit")["hit"]
-    bad = contaminated(df, benchmark, doc_id, text, **how).select(F.col("doc_id").alias(c)).distinct()
-    return df.join(bad, F.col(quoted(doc_id)).eqNullSafe(F.col(c)), "left_anti").select(*columns(df))
+    hits = Scratch(df.sparkSession, "contaminated").save(contaminated(df, benchmark, doc_id, text, **how).select("doc_id").distinct(), "ids")
+    return without(df, F.col(quoted(doc_id)).cast("long"), hits)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import words
-from webloom.llm.common import Scratch, quoted
+from webloom.llm.common import Scratch, quoted, suspects
 
 #: Shingles of known frequency, at most: the most frequent ones. They decide the order alone, never a link.
 FREQUENT = 1 << 17
@@ -176,14 +176,15 @@ def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the (a, b) whose sets have the similarity. Each text travels once for each hub that it is held against."""
+    """Those of the (a, b) whose sets have the similarity. Each of their texts travels once for each hub that it is held against."""
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = pairs.join(parts, "b").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"))
     hubs = parts.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"))
     # A node's places go in chunks, so that a hub of many parts is no row of unbounded length.
     placed = dealt.unionByName(hubs).groupBy("node", F.floor(F.col("part") / 1024).alias("chunk")).agg(F.collect_list(F.struct("hub", "part", "member")).alias("places"))
     wanted = placed.join(nodes.select("node", "s1"), "node").select("node", "s1", "places").hint("merge")
-    rows = docs.join(wanted, docs["id"] == wanted["node"]).select(F.explode("places").alias("x"), "node", "s1", "text").select("x.hub", "x.part", "x.member", "node", "s1", "text")
+    some = suspects(docs, F.col("id"), pairs.select("a").union(pairs.select("b")))
+    rows = some.join(wanted, some["id"] == wanted["node"]).select(F.explode("places").alias("x"), "node", "s1", "text").select("x.hub", "x.part", "x.member", "node", "s1", "text")
     ordered = rows.repartition(F.col("hub"), F.col("part")).sortWithinPartitions("hub", "part", "member")
     return ordered.mapInArrow(_verify(k, percent), "a long, b long").distinct()
 
