@@ -277,7 +277,7 @@ def test_queries_where_pages_repeat(spark, tmp_path):
     assert got.where("record_type = 'revisit'").count() > 100
 
 
-@pytest.mark.parametrize("bits", [1 << 15, 1 << 25])
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 26])
 def test_sieves(spark, monkeypatch, bits):
     """Suspects hold all rows that are asked for; what is left out is left out exactly, with a full sieve too."""
     from webloom.llm import common

@@ -48,7 +48,7 @@ def columns(df: DataFrame) -> list[Column]:
 
 
 #: Bits of a sieve, and of each of its pages (what Spark's bitmaps hold).
-SIEVE, PAGE = 1 << 25, 1 << 15
+SIEVE, PAGE = 1 << 26, 1 << 15
 
 
 def _place(key: Column) -> Column:
@@ -63,11 +63,13 @@ def _sifted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Col
     """
     (name,) = keys.columns
     bits = keys.select(_place(F.col(quoted(name))).alias("p")).groupBy(F.floor(F.col("p") / PAGE).alias("page")).agg(F.bitmap_construct_agg(F.col("p") % PAGE).alias("bits"))
-    c = fresh(df, "page", "bits")
+    # Words of four bytes, the first byte the highest; of a byte the first bit is the lowest.
+    words = F.transform(F.sequence(F.lit(0), F.lit(PAGE // 32 - 1)), lambda i: F.conv(F.hex(F.substring(F.col("bits"), 4 * i + 1, F.lit(4))), 16, 10).cast("long"))
+    c = fresh(df, "page", "words")
     at = _place(key) % PAGE
-    byte = F.conv(F.hex(F.substring(F.col(c["bits"]), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    out = df.join(F.broadcast(bits.select(F.col("page").alias(c["page"]), F.col("bits").alias(c["bits"]))), F.floor(_place(key) / PAGE) == F.col(c["page"]), "left")
-    return out, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    bit = (3 - F.floor(at / 8) % 4) * 8 + at % 8
+    out = df.join(F.broadcast(bits.select(F.col("page").alias(c["page"]), words.alias(c["words"]))), F.floor(_place(key) / PAGE) == F.col(c["page"]), "left")
+    return out, F.coalesce(F.getbit(F.get(F.col(c["words"]), F.floor(at / 32).cast("int")), bit.cast("int")) == 1, F.lit(False))
 
 
 def suspects(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:

@@ -233,10 +233,10 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     groups = own.save(groups.select("g", "prefix", "n", "many", F.col("rep.rare").alias("rare"), F.col("rep.id").alias("rep")), "groups")
     own.drop("features")
     index = groups.select("g", "many", F.posexplode("prefix").alias("at", "h"))
-    wide = index.groupBy("h").agg(F.sum(F.col("many") + 1).alias("members")).where("members > 1").select("h")
-    shared_by = index.select("h", "at", "g").join(wide, "h")
+    wide = own.save(index.groupBy("h").agg(F.sum(F.col("many") + 1).alias("members")).where("members > 1").select("h"), "wide")
+    shared_by = suspects(index.select("h", "at", "g"), F.col("h"), wide).join(wide, "h")
     buckets = own.save(shared_by.join(groups.select("g", "many", "n", "rare", "rep"), "g").select("h", "at", "g", "many", "n", "rare", "rep"), "buckets")
-    own.drop("groups")
+    own.drop("groups", "wide")
 
     # The hub of each bucket, and of each group the hub that most of its buckets name.
     hubs = buckets.groupBy("h").agg(F.min(F.struct("rare", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("g").alias("hub_g"), F.col("at").alias("hub_at"))).alias("x")).select("h", "x.hub", "x.hub_n", "x.hub_g", "x.hub_at")
