@@ -204,6 +204,8 @@ def _search(own: Scratch, name: str, segments: DataFrame, blocks: DataFrame, anc
     asking = blocks.select("block", F.col("ids").alias("q_ids"), F.col("labels").alias("q_labels"), F.col("vectors").alias("q_vectors"))
     base = slots.join(anchors.select("anchor", "norm", "home"), "anchor")
     best = done = None
+    made: list[str] = []
+    held = ""
     radius, turn = START * most**0.5 if exact else far, 0
     while True:
         if best is None:
@@ -217,6 +219,7 @@ def _search(own: Scratch, name: str, segments: DataFrame, blocks: DataFrame, anc
         if not exact:
             state = state.withColumn("radius", F.lit(far))
         state = own.save(state.select("anchor", "slot", "home", "limit", "high", "radius"), f"{name}-state{turn}")
+        made += [f"{name}-state{turn}", f"{name}-units{turn}"]
         wide = state.groupBy("anchor").agg(F.max("radius").alias("radius")).join(anchors.select("anchor", "home", "asked"), "anchor")
         wide = wide.select("home", "radius", F.posexplode("asked").alias("pivot", "at")).groupBy("home", "pivot").agg(F.min(F.col("at") - F.col("radius")).alias("a"), F.max(F.col("at") + F.col("radius")).alias("b"))
         units = wide.join(directory, "pivot").where("from <= b AND to >= a").select(F.col("home").alias("block"), "segment")
@@ -230,12 +233,16 @@ def _search(own: Scratch, name: str, segments: DataFrame, blocks: DataFrame, anc
             continue
         done = units if done is None else done.unionByName(units)
         limits = state.groupBy(F.col("home").alias("block")).agg(F.collect_list(F.struct("anchor", "slot", F.col("limit").alias("low"), "high")).alias("limits"))
-        made = units.join(whole, "segment").join(asking, "block").join(limits, "block").select("block", "q_ids", "q_labels", "q_vectors", "limits", "ids", "labels", "vectors")
-        got = made.mapInArrow(_scanned(dims, kind, exact, many, k, same), "anchor long, slot int, id long, score long")
+        met = units.join(whole, "segment").join(asking, "block").join(limits, "block").select("block", "q_ids", "q_labels", "q_vectors", "limits", "ids", "labels", "vectors")
+        got = met.mapInArrow(_scanned(dims, kind, exact, many, k, same), "anchor long, slot int, id long, score long")
         got = got if best is None else got.unionByName(best)
         rank = F.row_number().over(Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "id"))
-        best = own.save(got.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), f"{name}-best{turn}")
+        last, best = best, own.save(got.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), f"{name}-best{turn}")
+        if last is not None:
+            own.drop(held)
+        held = f"{name}-best{turn}"
         radius, turn = 4 * radius, turn + 1
+    own.drop(*made)
     return best if best is not None else own.spark.createDataFrame([], "anchor long, slot int, id long, score long")
 
 
@@ -284,6 +291,7 @@ def hard_negatives(df: DataFrame, anchor: Column, vec_id: str = "vec_id", vector
     p = F.col("positive_score").cast("decimal(38,0)")
     limit = near.select("anchor", "slot", F.ceil(p * low / 100).cast("long").alias("low"), F.floor(p * high / 100).cast("long").alias("high")).where("low <= high")
     away = _search(own, "negatives", *args, limit, positives, negatives, False, *how)
+    own.drop("segments", "blocks", "anchors")
     rank = F.row_number().over(Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "id"))
     return away.join(near, ["anchor", "slot"]).select(F.col("anchor").alias("anchor_id"), "positive_id", rank.cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
