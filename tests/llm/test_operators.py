@@ -553,6 +553,19 @@ def test_licenses(spark):
     assert licenses.license_scan(table(spark, rows)).count() == len(rows)
 
 
+def test_licenses_in_portions(spark, monkeypatch):
+    """A library of more k-grams than are broadcast at once takes several passes, with the same result."""
+    rng = random.Random(2)
+    pieces = [w for _, t in licenses.TEMPLATES for w in (t.split()[:30], t.split()[5:])] + [p.split() for p in licenses.PHRASES]
+    docs = table(spark, [(i, " ".join(x for _ in range(3) for x in [*rng.choice(pieces), "and", "so"])) for i in range(40)] + AWKWARD)
+    whole = sorted(map(repr, licenses.license_scan(docs).collect()))
+    monkeypatch.setattr(licenses, "GRAMS", 30)
+    every = (*((x, p, True) for p, x in licenses.PHRASES.items()), *((x, t, False) for x, t in licenses.TEMPLATES))
+    parts = licenses.portions(every)
+    assert len(parts) > 3 and tuple(t for _, p in parts for t in p) == every and [n for n, _ in parts] == [sum(len(p) for _, p in parts[:i]) for i in range(len(parts))]
+    assert sorted(map(repr, licenses.license_scan(docs).collect())) == whole
+
+
 def test_licenses_against_brute_force(spark):
     """Texts put together from pieces of templates, in and out of order, against plain diagonals."""
     every = [*((x, p.split(), True) for p, x in licenses.PHRASES.items()), *((x, t.split(), False) for x, t in licenses.TEMPLATES)]

@@ -36,6 +36,8 @@ TEMPLATES = (
 )
 #: How far diagonals of one span may lie apart, and the share of a template's k-grams that a span must hold.
 DRIFT, COVERAGE = 8, 0.6
+#: k-grams of templates that are broadcast at once; a larger library takes a pass over the texts for each so many.
+GRAMS = 1 << 16
 
 
 def words_of(text: Column) -> Column:
@@ -44,10 +46,24 @@ def words_of(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def template_grams(spark: SparkSession, templates: tuple[tuple[str, str, bool], ...], k: int = K) -> DataFrame:
-    """(h, template, at, need, exact, label): one row for each k-gram of each (label, text, exact)."""
+def portions(templates: tuple[tuple[str, str, bool], ...], k: int = K) -> list[tuple[int, tuple[tuple[str, str, bool], ...]]]:
+    """The templates in runs of at most GRAMS k-grams, or of one template, each with the number of its first."""
+    out: list[tuple[int, tuple[tuple[str, str, bool], ...]]] = []
+    room = 0
+    for number, template in enumerate(templates):
+        n = len(template[1].split()) - k + 1
+        if not out or n > room:
+            out.append((number, ()))
+            room = GRAMS
+        out[-1] = (out[-1][0], (*out[-1][1], template))
+        room -= n
+    return out
+
+
+def template_grams(spark: SparkSession, templates: tuple[tuple[str, str, bool], ...], k: int = K, first: int = 0) -> DataFrame:
+    """(h, template, at, need, exact, label): one row for each k-gram of each (label, text, exact), numbered from ``first``."""
     rows = []
-    for number, (label, text, exact) in enumerate(templates):
+    for number, (label, text, exact) in enumerate(templates, first):
         w = text.split()
         rows += [f"('{' '.join(w[i : i + k])}', {number}, {i}, {len(w) - k + 1}, {str(exact).lower()}, '{label}')" for i in range(len(w) - k + 1)]
     grams = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(gram, template, at, need, exact, label)")
@@ -64,8 +80,12 @@ def votes(df: DataFrame, words: Column, templates: tuple[tuple[str, str, bool],
     itself = F.array(F.struct(F.lit(-1).alias("i"), none.alias("h"), n.alias("n")))
     rolling = F.transform(F.slice(words, 1, F.greatest(n - (k - 1), F.lit(0))), lambda w, i: F.struct(i.alias("i"), F.xxhash64(w, *(F.get(words, i + j) for j in range(1, k))).alias("h"), F.lit(None).cast("int").alias("n")))
     each = df.select("id", "tag", F.inline(F.concat(itself, rolling)))
-    table = template_grams(df.sparkSession, templates, k)
-    return each.join(F.broadcast(table), "h", "left").where("i = -1 OR template IS NOT NULL").select("id", "tag", F.col("n").cast("long").alias("n_words"), "i", "template", "at", "need", "exact", "label")
+    out = None
+    for first, some in portions(templates, k):
+        met = each.join(F.broadcast(template_grams(df.sparkSession, some, k, first)), "h", "left").where("i = -1 OR template IS NOT NULL")
+        met = met.select("id", "tag", F.col("n").cast("long").alias("n_words"), "i", "template", "at", "need", "exact", "label")
+        out = met if out is None else out.union(met.where("i >= 0"))
+    return out
 
 
 def spans(hits: DataFrame, drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:
