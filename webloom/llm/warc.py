@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from webloom.llm.common import Scratch, quoted
 
 #: Bytes of an archive before the next one is begun, of a read, of a header at most, and of rows sent on at once.
-ROLL, BLOCK, HEADER, ROWS = 64 << 20, 1 << 20, 1 << 16, 4 << 20
+ROLL, BLOCK, HEADER, ROWS = 64 << 20, 1 << 20, 1 << 26, 4 << 20
 #: Payloads of fewer bytes are never written as revisits.
 LEAST = 100
 #: Fixed values of the format.
@@ -127,7 +127,8 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
     The payload is the text in UTF-8; null is empty. Of rows with equal payloads of ``least`` bytes or more that of
     the smallest id is a response, and so are rows that repeat its id; the others are revisits that refer to it. Rows
-    of null id revisit one that has an id, or are responses where none has. Payloads are told apart by their SHA-256.
+    of null id revisit one that has an id, or are responses where none has. An id that is no whole number is refused
+    with an error; URLs are written on one line, whatever their length. Payloads are told apart by their SHA-256.
     Bodies are shuffled only where there are more groups of copies than Spark broadcasts. Tasks write below
     _attempts, and only what tasks that succeeded have written is moved into place, so that lost executors and
     repeated tasks leave no record twice. A table without rows makes no archive.
@@ -227,10 +228,12 @@ class Stream:
 
     def head(self) -> bytes:
         """Up to the blank line that ends a header."""
+        seen = 0
         while True:
             if not b"WARC/1.".startswith(self.held[:7]):
                 raise Bad("no version line")
-            end = self.held.find(b"\r\n\r\n")
+            end = self.held.find(b"\r\n\r\n", max(0, seen - 3))
+            seen = len(self.held)
             if end >= 0:
                 out, self.held = self.held[: end + 4], self.held[end + 4 :]
                 return out
