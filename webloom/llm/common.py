@@ -48,7 +48,7 @@ def columns(df: DataFrame) -> list[Column]:
 
 
 #: Bits of a sieve, and of each of its pages (what Spark's bitmaps hold).
-SIEVE, PAGE = 1 << 26, 1 << 15
+SIEVE, PAGE = 1 << 25, 1 << 15
 
 
 def _place(key: Column) -> Column:
@@ -64,7 +64,8 @@ def _sifted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Col
     (name,) = keys.columns
     bits = keys.select(_place(F.col(quoted(name))).alias("p")).groupBy(F.floor(F.col("p") / PAGE).alias("page")).agg(F.bitmap_construct_agg(F.col("p") % PAGE).alias("bits"))
     # Words of four bytes, the first byte the highest; of a byte the first bit is the lowest.
-    words = F.transform(F.sequence(F.lit(0), F.lit(PAGE // 32 - 1)), lambda i: F.conv(F.hex(F.substring(F.col("bits"), 4 * i + 1, F.lit(4))), 16, 10).cast("long"))
+    four = lambda i: F.conv(F.hex(F.substring(F.col("bits"), 4 * i + 1, F.lit(4))), 16, 10).cast("long")
+    words = F.transform(F.sequence(F.lit(0), F.lit(PAGE // 32 - 1)), lambda i: (four(i) - F.when(four(i) >= 1 << 31, 1 << 32).otherwise(0)).cast("int"))
     c = fresh(df, "page", "words")
     at = _place(key) % PAGE
     bit = (3 - F.floor(at / 8) % 4) * 8 + at % 8
