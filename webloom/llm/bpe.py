@@ -186,15 +186,15 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_open: dict[tuple[str, str], Codec] = {}
+_open: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, cached: int = CACHED) -> Codec:
     """This worker's codec for a rank file; it outlives a task."""
-    if (path, pattern) not in _open:
+    if (path, pattern, cached) not in _open:
         _open.clear()
-        _open[path, pattern] = Codec(path, pattern)
-    return _open[path, pattern]
+        _open[path, pattern, cached] = Codec(path, pattern, cached)
+    return _open[path, pattern, cached]
 
 
 def _lists(raw: list[bytes]) -> pa.Array:
@@ -238,16 +238,18 @@ def decode_ids(ids: Column, path: str, pattern: str) -> Column:
     return raw(ids)
 
 
-def bpe_roundtrip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def bpe_roundtrip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", cached: int = CACHED) -> DataFrame:
     """``df`` with the ids of ``text`` and the bytes decoded from these ids.
 
-    Both are made in one pass, by one codec in one worker, in slices of about ``SLICE`` bytes of text. Other columns stay; one named as an output is replaced.
-    An empty table gives an empty one.
+    Both are made in one pass, by one codec in one worker, in slices of about ``SLICE`` bytes of text; a longer text is
+    encoded alone, whole. Null and empty texts have no ids and decode to no bytes. Other columns stay; one named as an
+    output is replaced. Rows are encoded one by one, so repeated ones alike. An empty table gives an empty one.
+    ``cached`` pre-tokens at most are kept by each worker: memory against speed, never a result.
     """
 
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, cached)
         for column in batches:
             for texts in slices(column):
                 raw = [own.encode(x) for x in texts.to_pylist()]
