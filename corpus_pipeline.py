@@ -13,6 +13,10 @@ from webloom.llm import bpe, decontam, jaccard, lines, queries, toxicity
 from webloom.llm.common import Scratch, columns, read, without
 
 
+#: Pre-tokens that a worker keeps: fewer than where encoding is all that it does, as workers live on through the stages.
+CACHED = 60_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model, fitted on ``docs`` and the folder's labels, rejects."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic")))
@@ -40,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and whether decoding the ids gives the text back."""
     import public_tokenizers
 
-    coded = bpe.bpe_roundtrip(docs.select("doc_id", "text"), queries.tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.bpe_roundtrip(docs.select("doc_id", "text"), queries.tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cached=CACHED)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("same"))
 
