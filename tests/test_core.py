@@ -165,6 +165,25 @@ def test_documents_and_metadata(spark):
     assert (meta[2].title, meta[2].link_density) == ("", 0.0)
 
 
+def test_metadata_of_cut_references(spark, tmp_path):
+    """Titles that end inside a reference, or hold others than SQL's: the query agrees with its SQL; the operator alone reads them as HTML."""
+    import duckdb
+
+    titles = ["x&amp;&amp", "x&am", "x&", "&quot;x&quot", "&lt;b&gt &lt", "&amp;lt; &amp;amp", "&copy;&copy &#39; &AMP; &notit;", "plain", ""]
+    rows = [(i, f"https://h.com/research/{i}", f"<title>{t}</title><nav><a href='/q?a=1&copy=2&amp;b'>x &amp</a></nav>") for i, t in enumerate(titles)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.page_metadata(spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.execute(registry.SQL["page_metadata"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == len(titles)
+    html = {r.page_id: r.title for r in extract.metadata(pages.withColumn("size", F.octet_length("html").cast("long"))).collect()}
+    assert html[0] == "x&&" and html[6] == "©© ' & ¬it;"
+    kept = pages.select(extract.closed_references(F.col("html"), ("amp",)).alias("h")).where("h LIKE '%?a=1&amp;copy=2&amp;b%'")
+    assert kept.count() == len(titles)
+
+
 def test_file_names(spark):
     cases = [("/d/a.pdf?x=1", None, "a.pdf"), ("/d/a.pdf", 'attachment; filename="r:1.pdf"', "r_1.pdf"), ("/d/z.pdf", "inline; filename=y.pdf", "z.pdf"), ("/" + "n" * 250 + ".pdf", None, "n" * 196 + ".pdf")]
     assert column(spark, [(u, d) for u, d, _ in cases], "u string, d string", urls.filename(F.col("u"), F.col("d"))) == [x for *_, x in cases]

@@ -164,8 +164,18 @@ def documents(pages: DataFrame, extensions: Sequence[str] = DEFAULT.extensions,
     return analyzed(pages, extensions, contains).select("page_id", F.col("url").alias("page_url"), F.inline("documents"))
 
 
-def metadata(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, description, has_nav, link_count, doc_count, link_density, depth); depth is always 0."""
+def closed_references(html: Column, names: Sequence[str]) -> Column:
+    """``html`` in which the references of these names, each with its semicolon, are the only ones: any other & stands for itself."""
+    return F.regexp_replace(html, f"&(?!(?:{'|'.join(names)});)", "&amp;")
+
+
+def metadata(pages: DataFrame, references: Sequence[str] | None = None) -> DataFrame:
+    """(page_id, url, title, description, has_nav, link_count, doc_count, link_density, depth); depth is always 0.
+
+    Character references are read as HTML has them, some of which need no semicolon (``&amp`` is &); with
+    ``references`` only those of these names, and only with their semicolons.
+    """
+    pages = pages if references is None else pages.withColumn("html", closed_references(F.col("html"), references))
     n = F.size("links").cast("long")
     return analyzed(pages).select("page_id", "url", "title", "description", "has_nav", n.alias("link_count"), F.size("documents").cast("long").alias("doc_count"), figures.link_density(n, F.col("size")).alias("link_density"), F.lit(0).alias("depth"))
 
