@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import sys
 import re
 
 import pyarrow as pa
@@ -507,6 +508,18 @@ def test_bpe_cache_generations():
     assert own.decode([int.from_bytes(own.encode(text)[i : i + 4], "little") for i in range(0, len(own.encode(text)), 4)]) == text.encode() and len(own.cache) <= 3
 
 
+def test_bpe_cache_bytes():
+    """Long pre-tokens of a wide script take far more than short ones: the cache is bounded by bytes too, and the ids are the same."""
+    most, rng = 1 << 16, random.Random(4)
+    own, free = (bpe.Codec(public.path("byte_bpe_50k.tiktoken"), public.PATTERN, most=n) for n in (most, 1 << 30))
+    for _ in range(300):
+        text = " ".join("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(60)) for _ in range(3))
+        assert own.encode(text) == free.encode(text) and own.decode([int.from_bytes(own.encode(text)[i : i + 4], "little") for i in range(0, len(own.encode(text)), 4)]) == text.encode()
+        for kept in (own.cache, own.cache.old):
+            assert sum(sys.getsizeof(x) for entry in kept.items() for x in entry) + sys.getsizeof(kept) <= most
+    assert own.cache.old and not free.cache.old
+
+
 def test_lines(spark):
     long = "A shared line of more than twenty"
     rows = [(1, f"{long}\nown"), (2, f" {long.upper()} \n{long}\nb"), (3, f"c\n{long}"), (4, "short\nshort"), (5, "short"), (6, "short"), (7, f"twice is no three documents\n{'z' * 25}"), (8, "z" * 25), (8, "z" * 25), (9, None), (10, ""), (None, long)]

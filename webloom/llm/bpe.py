@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from struct import pack
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from webloom.llm.common import fresh, quoted
 
 #: Entries of each worker's cache of encoded pre-tokens, at most; and the longest pre-token that is kept.
 CACHED, CACHED_CHARS = 300_000, 64
+#: Bytes of one of the cache's two generations, at most, whatever the script; and what an entry takes in the dictionary.
+CACHED_BYTES, ENTRY = 32 << 20, 50
 _BITS = 8
 _MASK = (1 << _BITS) - 1
 _BIT = [1 << i for i in range(1 << _BITS)]
@@ -141,7 +144,7 @@ _L, _N, _S, _END = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾", "\\t-\\r \u0
 class Codec:
     """Encodes to and decodes from the ids of a rank file; keeps a bounded cache of pre-tokens."""
 
-    def __init__(self, path: str, pattern: str, cached: int = CACHED) -> None:
+    def __init__(self, path: str, pattern: str, cached: int = CACHED, most: int = CACHED_BYTES) -> None:
         import regex
 
         with open(path, "rb") as lines:
@@ -160,6 +163,7 @@ class Codec:
             """Two generations: a full one becomes the old one, from which what is still in use comes back."""
 
             old: dict[str, bytes] = {}
+            size = 0  # bytes of the new one
 
             def __missing__(self, piece: str) -> bytes:
                 ids = self.old.get(piece)
@@ -167,10 +171,13 @@ class Codec:
                     found = merge(piece.encode(), own.ranks, own.pairs)
                     ids = pack(f"<{len(found)}i", *found)
                 if len(piece) <= CACHED_CHARS:
-                    if len(self) >= cached:
+                    taken = getsizeof(piece) + getsizeof(ids) + ENTRY
+                    if len(self) >= cached or self.size + taken > most:
                         self.old = dict(self)
                         self.clear()
+                        self.size = 0
                     self[piece] = ids
+                    self.size += taken
                 return ids
 
         self.cache = Cache()
@@ -244,7 +251,8 @@ def bpe_roundtrip(df: DataFrame, path: str, pattern: str, text: str = "text", id
     Both are made in one pass, by one codec in one worker, in slices of about ``SLICE`` bytes of text; a longer text is
     encoded alone, whole. Null and empty texts have no ids and decode to no bytes. Other columns stay; one named as an
     output is replaced. Rows are encoded one by one, so repeated ones alike. An empty table gives an empty one.
-    ``cached`` pre-tokens at most are kept by each worker: memory against speed, never a result.
+    ``cached`` pre-tokens at most are kept by each worker, and fewer where ``CACHED_BYTES`` are full: memory against
+    speed, never a result.
     """
 
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
